@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import rules, shards
+from skerry.llm import contamination, rules, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 13 benchmark words in all documents, found through suffix arrays of the documents."""
+    return contamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards by jump consistent hashing of doc_id."""
     return shards.assign(_table(spark, sf_dir, "documents"), 16)
@@ -27,6 +32,7 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_arrays": op1_suffix_arrays,
     "op2_jump_shards": op2_jump_shards,
     "op9_rule_ledger": op9_rule_ledger,
 }
