@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import contamination, rules, shards
+from skerry.llm import contamination, langid, rules, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(_table(spark, sf_dir, "documents"), 16)
 
 
+def op3_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from labelled documents outside fold 2."""
+    return langid.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule ledger of all documents, with the base verdict and that of policy v1."""
     book = rules.ledger(_table(spark, sf_dir, "documents"))
@@ -34,6 +39,7 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_arrays": op1_suffix_arrays,
     "op2_jump_shards": op2_jump_shards,
+    "op3_subword_langid": op3_subword_langid,
     "op9_rule_ledger": op9_rule_ledger,
 }
 
