@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import contamination, langid, rules, shards
+from skerry.llm import contamination, langid, mixing, rules, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op3_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(_table(spark, sf_dir, "documents"))
 
 
+def op5_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a mix of all documents to the target weights of their sources takes each."""
+    return mixing.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule ledger of all documents, with the base verdict and that of policy v1."""
     book = rules.ledger(_table(spark, sf_dir, "documents"))
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_arrays": op1_suffix_arrays,
     "op2_jump_shards": op2_jump_shards,
     "op3_subword_langid": op3_subword_langid,
+    "op5_cube_mix": op5_cube_mix,
     "op9_rule_ledger": op9_rule_ledger,
 }
 
