@@ -18,6 +18,8 @@ WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 BLOCK_ROWS = 4096
 #: A source's shortest units, left out of the last flight: with the two it leaves open they make the landing problem.
 LANDING = 8
+#: Units of a block, the longest, that are settled before its flight.
+LONG = 16
 _EPS = 1e-9
 
 
@@ -47,6 +49,31 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> None:
         window = [j for j in window if _EPS < p[j] < 1 - _EPS]
 
 
+def settle_long(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, n: int) -> None:
+    """Move the first n units, in place, to 0 or 1 each, against all later open units together.
+
+    A long unit hardly moves in a flight of three, and left to the landing it would cost the
+    balance its whole size. The null vector here spreads the unit's rows and words over all later units.
+    """
+    for k in range(n):
+        for _ in range(8):
+            rest = np.flatnonzero((p > _EPS) & (p < 1 - _EPS) & (np.arange(len(p)) > k))
+            if not _EPS < p[k] < 1 - _EPS or len(rest) < 16:
+                break
+            z = size[rest]
+            system = np.array([[len(z), z.sum()], [z.sum(), (z * z).sum()]])
+            if abs(np.linalg.det(system)) < 1e-6:
+                break
+            a, b = np.linalg.solve(system, [-1.0, -size[k]])
+            u, at = np.concatenate([[1.0], a + b * z]), np.concatenate([[p[k]], p[rest]])
+            some = np.abs(u) > 1e-15
+            room, fall = np.where(u > 0, 1 - at, at)[some] / np.abs(u[some]), np.where(u > 0, at, 1 - at)[some] / np.abs(u[some])
+            up, down = room.min(), fall.min()
+            step = up if rng.random() * (up + down) < down else -down
+            moved = np.clip(at + step * u, 0, 1)
+            p[k], p[rest] = moved[0], moved[1:]
+
+
 def land(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> None:
     """Settle what few probabilities are left: of all ways to round, one nearest the token total."""
     loose = [k for k in range(len(p)) if _EPS < p[k] < 1 - _EPS]
@@ -87,6 +114,7 @@ def _balanced(rows: DataFrame) -> DataFrame:
         p, size = table["p"].to_numpy()[order].copy(), table["size"].to_numpy()[order].astype(float)
         rng = np.random.default_rng(key[0].as_py() & 0xFFFFFFFFFFFFFFFF)
         stop = max(3, len(p) - LANDING) if last else len(p)
+        settle_long(p, size, rng, min(LONG, stop))
         flight(p[:stop], size[:stop], rng)
         if last:
             land(p, size, rng)
