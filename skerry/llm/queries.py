@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import chat, contamination, langid, mixing, pii, rules, shards
+from skerry.llm import chat, contamination, langid, mixing, pii, rules, shards, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand in two documents, over all documents."""
+    return suffixes.spans(_table(spark, sf_dir, "documents"))
+
+
 def op7_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents: base patterns, and spans that weak supervision adds."""
     return pii.report(_table(spark, sf_dir, "documents"))
@@ -53,14 +58,21 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.verdict("base")).alias("base_failed"), kept.alias("kept"), "failed")
 
 
+def op10_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the windows of 35 words that occur twice."""
+    return substrings.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_arrays": op1_suffix_arrays,
     "op2_jump_shards": op2_jump_shards,
     "op3_subword_langid": op3_subword_langid,
     "op5_cube_mix": op5_cube_mix,
+    "op6_sparse_suffixes": op6_sparse_suffixes,
     "op7_weak_pii": op7_weak_pii,
     "op8_prefix_tree": op8_prefix_tree,
     "op9_rule_ledger": op9_rule_ledger,
+    "op10_block_anchors": op10_block_anchors,
 }
 
 ORACLES: dict[str, str] = {}
