@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import chat, contamination, langid, mixing, pii, rules, shards, substrings, suffixes
+from skerry.llm import chat, contamination, langid, mixing, near, pii, rules, shards, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op3_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a mix of all documents to the target weights of their sources takes each."""
     return mixing.report(_table(spark, sf_dir, "documents"))
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_arrays": op1_suffix_arrays,
     "op2_jump_shards": op2_jump_shards,
     "op3_subword_langid": op3_subword_langid,
+    "op4_bottom_k": op4_bottom_k,
     "op5_cube_mix": op5_cube_mix,
     "op6_sparse_suffixes": op6_sparse_suffixes,
     "op7_weak_pii": op7_weak_pii,
