@@ -1,23 +1,57 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline over documents: five stages, each of which takes all rows that the one before it kept.
+
+Every stage but the last returns the columns of documents; each returned table is written and read again before
+the next stage, so a lost executor never sets the pipeline back by more than a stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.llm import shards
+from skerry.llm import contamination, langid, mixing, near, shards
+from skerry.llm.store import written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier accepts; it learns from labelled rows of these documents."""
+    return langid.accepted(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least doc_id, of each component of near duplicates."""
+    return near.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words stand in benchmark windows."""
+    return contamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times, from none to twice, as the mix to its source's target takes it."""
+    return mixing.mixed(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of every document and its place there, by jump consistent hashing."""
-    return shards.assign(docs)
+    """The documents with their shard of 16, by jump consistent hashing of doc_id."""
+    return shards.shard_column(docs)
+
 
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+    ("sharding", sharding),
+]
 
-STAGES = [("sharding", sharding)]
+#: No stage but the last is expressible in SQL; tests hold the rows against brute-force versions of the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the last stage's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
