@@ -12,7 +12,7 @@ from skerry.session import AS_OF, DAY
 from skerry.sources.adapters import LOG, METRICS, log_events, metric_samples, table
 
 W, M = f"WITH {LOG} ", f"WITH {METRICS} "
-BAD = F.col("severity_norm").isin("error", "fatal")
+BAD = "CASE WHEN severity_norm IN ('error', 'fatal') THEN 1 ELSE 0 END"
 
 
 @query("composite_counts", W + "SELECT origin_host, severity_norm, count(*)::BIGINT AS doc_count, count(message)::BIGINT AS messages FROM log_events WHERE origin_host IS NOT NULL AND severity_norm IS NOT NULL GROUP BY ALL")
@@ -23,7 +23,7 @@ def composite_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("filter_subagg", W + "SELECT family, count(*)::BIGINT AS n, sum(CASE WHEN severity_norm IN ('error', 'fatal') THEN 1 ELSE 0 END)::BIGINT AS bad, coalesce(sum(CASE WHEN severity_norm = 'fatal' THEN enter_system_lag_ms END), 0)::BIGINT AS fatal_lag, avg(CASE WHEN severity_norm = 'fatal' THEN enter_system_lag_ms END)::DOUBLE AS avg_fatal FROM log_events GROUP BY family")
 def filter_subagg(spark: SparkSession, sf_dir: str) -> DataFrame:
     fatal = F.when(F.col("severity_norm") == "fatal", F.col("enter_system_lag_ms"))
-    return log_events(spark, sf_dir).groupBy("family").agg(F.count("*").alias("n"), F.sum(F.when(BAD, 1).otherwise(0)).alias("bad"), F.coalesce(F.sum(fatal), F.lit(0)).alias("fatal_lag"), F.avg(fatal).alias("avg_fatal"))
+    return log_events(spark, sf_dir).groupBy("family").agg(F.count("*").alias("n"), F.sum(F.expr(BAD)).alias("bad"), F.coalesce(F.sum(fatal), F.lit(0)).alias("fatal_lag"), F.avg(fatal).alias("avg_fatal"))
 
 
 @query("filters_agg", W + "SELECT 'all' AS name, count(*)::BIGINT AS n FROM log_events UNION ALL SELECT 'errors', count(*) FROM log_events WHERE severity_norm = 'error' UNION ALL SELECT 'slow', count(*) FROM log_events WHERE enter_system_lag_ms > 200 UNION ALL SELECT 'local', count(*) FROM log_events WHERE family = 'local'")
