@@ -86,11 +86,12 @@ def heartbeat_watch(seen: DataFrame, key: str, time: str, roster: DataFrame, now
 _STATE = "episodes string"
 
 
-def detector_lifecycle(signals: DataFrame, overdue_ms: int = 360_000) -> DataFrame:
+def detector_lifecycle(signals: DataFrame, overdue_ms: int | None = 360_000) -> DataFrame:
     """Episodes of detector signals, kept as state by incident: updated as results arrive, stale when they stop.
 
     Rows: incident_id, source_id, state, window_ms, grade, healthy_required. Replayed results change nothing, since breach and
-    healthy marks only move forward.
+    healthy marks only move forward. Without overdue_ms nothing turns stale: a query that is to stop when all is read needs
+    that, since a timer keeps it alive.
     """
     import json
 
@@ -108,11 +109,12 @@ def detector_lifecycle(signals: DataFrame, overdue_ms: int = 360_000) -> DataFra
                     e["episode_state"] = "OPEN"
             episodes = projection.fold_detector(key[0], iter(found), int(rows["healthy_required"].iloc[0]), episodes)
         state.update((json.dumps(episodes, default=int),))
-        state.setTimeoutDuration(overdue_ms)
+        if overdue_ms is not None:
+            state.setTimeoutDuration(overdue_ms)
         names = [c.split()[0] for c in projection.DETECTOR_EPISODE.split(", ")]
         yield pd.DataFrame(episodes, columns=names).astype({"resolved_at": "Int64"})
 
-    return signals.groupBy("incident_id").applyInPandasWithState(step, projection.DETECTOR_EPISODE, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return signals.groupBy("incident_id").applyInPandasWithState(step, projection.DETECTOR_EPISODE, _STATE, "update", GroupStateTimeout.NoTimeout if overdue_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def resend_open(episodes: Callable[[], DataFrame], send: Callable[[DataFrame], None], spark: SparkSession, checkpoint: str, every: str = "30 seconds") -> StreamingQuery:

@@ -114,7 +114,7 @@ def test_stream_lifecycle(spark, tmp_path):
     schema = "incident_id string, source_id string, state string, window_ms long, grade double, healthy_required int"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
     got = []
-    jobs.run_once(jobs.detector_lifecycle(spark.readStream.schema(schema).parquet(source)), lambda b, _: got.extend(b.collect()), str(tmp_path / "c"))
+    jobs.run_once(jobs.detector_lifecycle(spark.readStream.schema(schema).parquet(source), None), lambda b, _: got.extend(b.collect()), str(tmp_path / "c"))
     assert sorted((r.opened_at, r.episode_state) for r in got) == [(10_000, "RESOLVED"), (250_000, "OPEN")]
 
 
