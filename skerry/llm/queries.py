@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import chat, contamination, langid, mixing, near, pii, rules, shards, substrings, suffixes
+from skerry.llm import chat, contamination, langid, mixing, near, oracles, pii, rules, shards, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 benchmark words in all documents, found through suffix arrays of the documents."""
-    return contamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = contamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_block_anchors": op10_block_anchors,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_suffix_arrays": oracles.OP1,
+    "op6_sparse_suffixes": oracles.OP6,
+    "op9_rule_ledger": oracles.OP9,
+    "op10_block_anchors": oracles.OP10,
+}

@@ -18,12 +18,22 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/skerry-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; DataFrames that read them are no longer of use."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_home(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
     The table outlives executors, so later jobs never rerun what made it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skerry-{name}-{uuid.uuid4().hex}"
+    path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
