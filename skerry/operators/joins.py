@@ -28,8 +28,6 @@ def as_of(events: DataFrame, snapshots: DataFrame, time: str, from_: str, keys:
     return met.where("side_ = 1").select("event_.*", "snap_.*")
 
 
-
-
 def lookup(rows: DataFrame, dimension: DataFrame, keys: Sequence[str], **columns: str) -> DataFrame:
     """Left join with a dimension; what isn't found is the sentinel, never null."""
     side = dimension.select(*keys, *[F.col(c).alias(n) for n, c in columns.items()])

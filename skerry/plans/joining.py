@@ -16,11 +16,24 @@ W = f"WITH {LOG} "
 R = f"WITH {LOG}, {ROSTER} "
 
 
-@query("roster_asof", R + "SELECT event_id, coalesce(r.topology_version, 'none') AS topology_version, coalesce(r.collector_id, 'none') AS collector_id FROM log_events e ASOF LEFT JOIN roster r ON e.origin_host = r.origin_host AND e.collector_ms >= r.effective_from")
+_SNAPSHOTS = "SELECT DISTINCT topology_version, effective_from FROM roster"
+
+
+@query("roster_asof", R + f"SELECT event_id, coalesce(s.topology_version, 'none') AS topology_version, coalesce(r.collector_id, 'none') AS collector_id FROM log_events e ASOF LEFT JOIN ({_SNAPSHOTS}) s ON e.collector_ms >= s.effective_from LEFT JOIN roster r ON r.topology_version = s.topology_version AND r.origin_host = e.origin_host")
 def roster_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collector of each record's host in the snapshot in force: a host that the snapshot lacks has none, whatever older ones say."""
+    rows = roster(spark, sf_dir)
+    events = log_events(spark, sf_dir).select("event_id", "origin_host", "collector_ms")
+    placed = j.as_of(events, rows.select("topology_version", "effective_from").distinct(), "collector_ms", "effective_from")
+    found = j.lookup(placed, rows, ["topology_version", "origin_host"], collector_id="collector_id")
+    return found.select("event_id", F.coalesce("topology_version", F.lit(catalog.NONE)).alias("topology_version"), "collector_id")
+
+
+@query("host_history_asof", R + "SELECT event_id, r.collector_id FROM log_events e ASOF LEFT JOIN roster r ON e.origin_host = r.origin_host AND e.collector_ms >= r.effective_from")
+def host_history_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with the last assignment its host ever had until then."""
     events = log_events(spark, sf_dir).select("event_id", "origin_host", "collector_ms")
-    got = j.as_of(events, roster(spark, sf_dir), "collector_ms", "effective_from", ["origin_host"])
-    return got.select("event_id", *[F.coalesce(c, F.lit(catalog.NONE)).alias(c) for c in ("topology_version", "collector_id")])
+    return j.as_of(events, roster(spark, sf_dir), "collector_ms", "effective_from", ["origin_host"]).select("event_id", "collector_id")
 
 
 @query("snapshot_asof", R + "SELECT event_id, topology_version FROM log_events e ASOF LEFT JOIN (SELECT DISTINCT topology_version, effective_from FROM roster) r ON e.collector_ms >= r.effective_from")
