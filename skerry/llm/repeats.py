@@ -167,7 +167,8 @@ def find(docs: DataFrame, width: int, anchors: Anchors, columns: int, need: int,
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = max(1, -(-size // CHUNK_BYTES)), max(1, size // (5 * BUCKET_WORDS))
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(chunks, 1 << 20))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, bucket_parts = max(least, chunks), max(least, 2 * buckets)
     dealt = given.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).repartition(parts, "chunk")
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
@@ -211,7 +212,7 @@ def find(docs: DataFrame, width: int, anchors: Anchors, columns: int, need: int,
         return cover(left, w, inside)
 
     by_chunk = dealt.groupBy("chunk")
-    met = by_chunk.applyInArrow(send, _SEND).groupBy("bucket").applyInArrow(_twice(columns, need), "chunk long, keys binary")
+    met = by_chunk.applyInArrow(send, _SEND).repartition(bucket_parts, "bucket").groupBy("bucket").applyInArrow(_twice(columns, need), "chunk long, keys binary")
     sent = by_chunk.cogroup(met.groupBy("chunk")).applyInArrow(extend, _SEND)
-    repeated = sent.groupBy("bucket").applyInArrow(_twice(3, 0), "chunk long, keys binary")
+    repeated = sent.repartition(bucket_parts, "bucket").groupBy("bucket").applyInArrow(_twice(3, 0), "chunk long, keys binary")
     return by_chunk.cogroup(repeated.groupBy("chunk")).applyInArrow(finish, schema)
