@@ -17,7 +17,7 @@ from skerry.llm.textkit import U
 
 UNKNOWN = "und"
 #: Labelled rows that training takes at most, over all languages, and characters of each: the sample's documented bounds.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 4000
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 1600
 #: Bytes in a subword.
 GRAMS = (1, 2, 3, 4)
 _PIECE = 60  # words in a training example
@@ -34,27 +34,38 @@ class Model:
     floor: float  # calibrated: scores below it are rejected
 
 
-def _subwords(w: tk.Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all subwords of distinct words, and where each word's begin. Subwords see the word's ends."""
-    size = w.end - w.start
+def _subwords(w: tk.Words, buckets: int, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all subwords of distinct words, and where each word's begin. Subwords see the word's ends.
+
+    Words are taken in blocks, so that what is held beside the result is small.
+    """
+    parts, counts = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+    for at in range(0, len(w.start), block):
+        found, count = _block_subwords(w.data, w.start[at : at + block], w.end[at : at + block], buckets)
+        parts.append(found)
+        counts.append(count)
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
+
+
+def _block_subwords(text: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    size = end - start
     total = int((size + 2).sum())
     begin = np.concatenate([[0], np.cumsum(size + 2)])
     data = np.full(total, 32, np.uint8)  # a space at either end
     word = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-    data[begin[word] + 1 + place] = tk.LOWER[w.data[w.start[word] + place]]
+    data[begin[word] + 1 + place] = tk.LOWER[text[start[word] + place]]
     left = np.repeat(begin[1:], size + 2) - np.arange(total)
-    codes = data.astype(U) + U(1)
-    found, owner = [], np.repeat(np.arange(len(size)), size + 2)
-    ids = []
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size + 2)
+    codes, found, ids = data.astype(U) + U(1), [], []
     for n in GRAMS:
         h = tk.mix(tk.windows(codes, n, 0x100000001B3) + U(n << 56))
         ok = left[: len(h)] >= n
         found.append((h[ok] & U(buckets - 1)).astype(np.int32))
         ids.append(owner[: len(h)][ok])
-    found, ids = np.concatenate(found), np.concatenate(ids)
+    ids = np.concatenate(ids)
     order = np.argsort(ids, kind="stable")
-    return found[order], np.searchsorted(ids[order], np.arange(len(size) + 1))
+    return np.concatenate(found)[order], np.bincount(ids, minlength=len(size))
 
 
 def _distinct(w: tk.Words) -> tuple[tk.Words, np.ndarray]:
@@ -99,7 +110,7 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int
     distinct, back = _distinct(w)
     subwords, begin = _subwords(distinct, buckets)
     y = np.array([languages.index(x) for x in labels])
-    pieces = [(a, min(b, a + _PIECE), k) for k, (lo, b) in enumerate(zip(w.rows[:-1], w.rows[1:], strict=True)) for a in range(lo, min(b, lo + 4 * _PIECE), _PIECE)]
+    pieces = [(a, min(b, a + _PIECE), k) for k, (lo, b) in enumerate(zip(w.rows[:-1], w.rows[1:], strict=True)) for a in range(lo, b, _PIECE)]
     held = rng.random(len(texts)) < 0.2
     fit = [p for p in pieces if not held[p[2]]]
     table = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
