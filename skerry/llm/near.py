@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm import components
 from skerry.llm import textkit as tk
-from skerry.llm.store import written
+from skerry.llm.store import scratch, written
 from skerry.llm.textkit import U
 
 #: Words in a shingle, and the similarity of a link as a fraction: 100 * shared >= 75 * union.
 SHINGLE, LINK = 5, (75, 100)
-#: Values in a sketch: the tiers that are inverted in turn, and those that an estimate takes.
-TIERS, ESTIMATE = ((0, 16), (16, 64)), 32
+#: Values in a sketch: those that are inverted, those that an estimate takes, and the deep sketch of unsafe classes.
+INVERTED, ESTIMATE, DEEP = 16, 32, 256
+#: Least values that the deep sketches of a link share: 192 are expected, and 6 standard deviations are allowed.
+DEEP_SHARED = 150
 #: Documents in a list whose pairs are formed directly; in longer lists each meets a hub instead.
 SHORT_LIST = 16
 #: Short-list values that make a document safe: a link shares each with probability 3/4, so all 12 are missed once in 4**12.
 SAFE = 12
 #: Least estimates that are verified: for a link, and for what a hub's other members may link with.
 FLOOR, HUB_FLOOR = 0.34, 0.2
+#: Classes of each side in a task that compares two blocks.
+CROSS_ROWS = 512
+#: Pairs that a task verifies.
+CELL_PAIRS = 1000
+#: What a list may hold to have its pairs formed grows by this factor with every round of hubs that left it unsettled.
+PATIENCE = 4
 
 
 def shingles(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
@@ -43,9 +51,8 @@ def shingles(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n (the set's size), mark (a 128-bit digest of the set) and sketch (its lowest values, in order)."""
-    most = TIERS[-1][1]
+def sketched(docs: DataFrame, most: int = ESTIMATE) -> DataFrame:
+    """doc_id, n (the set's size), mark (a 128-bit digest of the set) and sketch (its `most` lowest values, in order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.chunks(batches, "text"):
@@ -64,26 +71,51 @@ def _alike(n: Column, m: Column) -> Column:
     return LINK[1] * F.least(n, m) >= LINK[0] * F.greatest(n, m)
 
 
-def _lists(classes: DataFrame, tier: tuple[int, int], name: str) -> DataFrame:
-    """Inverted lists of a tier's values: v, rep, n, and c, the list's length; values of one class only are left out."""
-    flat = classes.select("rep", "n", F.explode(F.slice("sketch", tier[0] + 1, tier[1] - tier[0])).alias("v"))
+def _lists(flat: DataFrame, name: str) -> DataFrame:
+    """Inverted lists of (rep, n, v) rows: v, rep, n, and c, the list's length; values of one class only are left out."""
     counts = flat.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
     return written(flat.join(counts, "v"), name)
 
 
-def _short_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of classes that share a value whose list is short."""
-    short = lists.where(F.col("c") <= SHORT_LIST)
-    other = short.select("v", F.col("rep").alias("b"), F.col("n").alias("m"))
-    met = short.join(other, "v").where((F.col("rep") < F.col("b")) & _alike(F.col("n"), F.col("m")))
-    return met.select(F.col("rep").alias("a"), "b")
+def _short_pairs(lists: DataFrame, most: int = SHORT_LIST) -> DataFrame:
+    """Pairs of classes, of different components where those are given, that share a value whose list is short."""
+    comp = F.col("comp") if "comp" in lists.columns else F.col("rep")
+    indexed = F.col("indexed") if "indexed" in lists.columns else F.lit(True)
+    work = F.col("c") * F.col("ci") if "ci" in lists.columns else F.col("c") * F.col("c")
+    short = lists.where(work <= most * most).select("v", "rep", "n", comp.alias("ca"), indexed.alias("ia"))
+    other = short.select(F.col("v").alias("w"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("ca").alias("cb"), F.col("ia").alias("ib"))
+    meets = (F.col("v") == F.col("w")) & (F.col("rep") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike(F.col("n"), F.col("m"))
+    met = short.join(other, meets & ((F.col("ia") & (F.col("n") <= F.col("m"))) | (F.col("ib") & (F.col("m") <= F.col("n")))))
+    return met.select(F.col("rep").alias("a"), "b").distinct()
 
 
-def _unsafe(classes: DataFrame, lists: DataFrame, tier: tuple[int, int]) -> DataFrame:
-    """Classes that too few values outside long lists vouch for."""
+def _unsafe(classes: DataFrame, lists: DataFrame) -> DataFrame:
+    """mark of classes that too few values outside long lists vouch for."""
     long_ = lists.where(F.col("c") > SHORT_LIST).groupBy("rep").agg(F.count("*").alias("hot"))
-    held = F.greatest(F.lit(0), F.least(F.size("sketch"), F.lit(tier[1])) - tier[0])
-    return classes.join(long_, "rep").where(held - F.col("hot") < SAFE).drop("hot")
+    held = F.least(F.size("sketch"), F.lit(INVERTED))
+    return classes.join(long_, "rep").where(held - F.col("hot") < SAFE).select("rep", "mark")
+
+
+def _deep(unsafe: DataFrame, texts: DataFrame) -> DataFrame:
+    """rep, n and a sketch of DEEP values of each unsafe class: up to DEEP shingles the whole set."""
+    own = sketched(texts, DEEP).join(unsafe, "mark", "left_semi")
+    return written(own.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).drop("mark"), "deep")
+
+
+def _prefixes(deep: DataFrame) -> DataFrame:
+    """rep, n, v, indexed: of each deep sketch the rarest values, so many that a link must share one of them.
+
+    Sets of which at least k values are shared meet among the first (size - k + 1) of each in any common order. Up to DEEP shingles
+    the sketch is the whole set, and k is 3/4 of the larger set and 6/7 of the smaller: as the smaller one of a pair, a class is
+    known by its `indexed` values alone.
+    """
+    flat = deep.select("rep", "n", F.explode("sketch").alias("v"))
+    counts = flat.groupBy("v").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("rep").orderBy("c", "v")
+    length = F.when(F.col("n") <= DEEP, F.col("n") - F.ceil(F.col("n") * LINK[0] / LINK[1]) + 1).otherwise(F.lit(DEEP - DEEP_SHARED + 1))
+    both = LINK[0] + LINK[1]
+    own = F.when(F.col("n") <= DEEP, F.col("n") - F.ceil(F.col("n") * 2 * LINK[0] / both) + 1).otherwise(length)
+    return flat.join(counts, "v").withColumn("k", F.row_number().over(w)).where(F.col("k") <= length).where("c > 1").select("rep", "n", "v", (F.col("k") <= own).alias("indexed"))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
@@ -97,58 +129,157 @@ def _estimated(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, shared and total: the sizes of the intersection and the union of both whole sets."""
+    """a, b, shared and total: the sizes of the intersection and the union of both whole sets.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.chunks(batches, "text"):
-            one, two = shingles(batch.column(2)), shingles(batch.column(3))
-            shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, two, strict=True)], np.int64)
-            total = np.array([len(x) + len(y) for x, y in zip(one, two, strict=True)], np.int64) - shared
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(total)], ["a", "b", "shared", "total"])
-
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("other")), "a")
-    return both.select("a", "b", "text", "other").mapInArrow(run, "a long, b long, shared long, total long")
+    pairs: a written table. Pairs are dealt to cells, the cells of a square by a's and b's hashes, of some CELL_PAIRS pairs each. A text
+    goes once to each cell that asks for it, so in a crowd of like texts it is sent as often as the square is wide, not as it has partners.
+    """
+    wide = max(1, int((pairs.count() / CELL_PAIRS) ** 0.5 + 0.999))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(wide))
+    asked = pairs.select("a", "b", (place("a") * wide + place("b")).alias("cell"))
+    wanted = asked.select("cell", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sent = wanted.join(texts.select("doc_id", "text"), "doc_id").select(F.col("cell").alias("at"), "doc_id", "text")
+
+    def verify(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for batch in tk.chunks(left.select(["doc_id", "text"]).to_batches(), "text"):
+            for d, s in zip(batch.column(0).to_pylist(), shingles(batch.column(1)), strict=True):
+                sets.setdefault(d, []).append(s)
+        out = []
+        for a, b in zip(right["a"].to_pylist(), right["b"].to_pylist(), strict=True):
+            for x in sets.get(a, ()):
+                for y in sets.get(b, ()):  # rows that share a doc_id may differ in text
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    out.append((a, b, shared, len(x) + len(y) - shared))
+        return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["a", "b", "shared", "total"])
+
+    return sent.groupBy("at").cogroup(asked.groupBy("cell")).applyInArrow(verify, "a long, b long, shared long, total long")
 
 
 def _is_link() -> Column:
     return LINK[1] * F.col("shared") >= LINK[0] * F.col("total")
 
 
-def _hub_links(members: DataFrame, classes: DataFrame, texts: DataFrame) -> Iterator[DataFrame]:
-    """Links between classes that only long lists vouch for, without forming a long list's pairs.
+def _alike_sizes(n: int, m: np.ndarray) -> np.ndarray:
+    return LINK[1] * np.minimum(n, m) >= LINK[0] * np.maximum(n, m)
+
+
+def _may_link(table: pa.Table, x: np.ndarray, y: np.ndarray, asked: Callable[[int, np.ndarray], np.ndarray]) -> pa.Table:
+    """a, b: pairs of rows x by rows y that are asked for and whose deep sketches share as much as a link's must.
 
-    members: v, rep, n. In a round each list's least class is its hub, and is compared with the list's others. Those linked
-    with the hub are joined through it and leave the list, as does the hub. Jaccard distance is a metric, so a class that stays can
-    be linked with one that leaves only if its distance from the hub is in (1/4, 1/2]: it is compared with those that leave
-    whose distance from the hub is within 1/4 of its own. A list that has become short has its pairs formed. So no link is lost, and
-    a list of near copies of one text is settled in a round.
+    Values of y are sorted once; a row of x counts what it shares with all of y by looking its values up.
     """
+    rep, n = table["rep"].to_numpy(), table["n"].to_numpy()
+    sets = table["sketch"].combine_chunks()
+    values, offsets = sets.values.to_numpy(), sets.offsets.to_numpy()
+    held = np.concatenate([values[offsets[k] : offsets[k + 1]] for k in y] or [np.empty(0, np.int64)])
+    owner = np.repeat(np.arange(len(y)), [offsets[k + 1] - offsets[k] for k in y])
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    out: list[tuple[int, int]] = []
+    for k in x:
+        mine = values[offsets[k] : offsets[k + 1]]
+        low, high = np.searchsorted(held, mine, "left"), np.searchsorted(held, mine, "right")
+        size = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        shared = np.bincount(owner[at], minlength=len(y))
+        whole = (n[k] <= DEEP) & (n[y] <= DEEP)
+        # of the larger set a link's smaller one has a share of `part`, so of the larger set's sketch as well, give or take 6 deviations
+        part = LINK[0] / (LINK[0] + LINK[1]) * (1 + np.minimum(n[k], n[y]) / np.maximum(n[k], n[y]))
+        least = DEEP * part - 6 * np.sqrt(DEEP * part * (1 - part))
+        may = np.where(whole, LINK[1] * shared >= LINK[0] * (n[k] + n[y] - shared), shared >= least)
+        out += [(min(rep[k], rep[j]), max(rep[k], rep[j])) for j in y[may & asked(k, y) & (rep[y] != rep[k]) & _alike_sizes(n[k], n[y])]]
+    out = sorted(set(out))
+    return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+
+def _within(lists: DataFrame, deep: DataFrame) -> DataFrame:
+    """a, b: pairs of a list's members, of different components, that may be links; a task compares one list."""
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        n, comp, indexed = (table[c].to_numpy() for c in ("n", "comp", "indexed"))
+        every = np.arange(len(n))
+        return _may_link(table, np.flatnonzero(indexed.astype(bool)), every, lambda k, y: (comp[k] != comp[y]) & (n[k] <= n[y]))
+
+    return lists.select("v", "rep", "comp", "indexed").join(deep, "rep").groupBy("v").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _crossed(sides: DataFrame, deep: DataFrame) -> DataFrame:
+    """a, b: pairs of a hub's two sides whose deep sketches share as much as a link's must.
+
+    sides: hub, far (which side), rep, d (distance from the hub), comp. Both sides are dealt to blocks, and a task compares two blocks:
+    what is shuffled grows with the sides' product only divided by CROSS_ROWS, and of the pairs only those that may be links are rows.
+    """
+    sizes = sides.groupBy("hub").agg(F.count_if("far").alias("x"), F.count_if(~F.col("far")).alias("y")).where("x > 0 and y > 0")
+    blocks = lambda c: F.ceil(F.col(c) / CROSS_ROWS).cast("long")
+    rows = sides.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("far"), blocks("x")).otherwise(blocks("y"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("far"), blocks("y")).otherwise(blocks("x")) - 1)))
+    dealt = rows.select("hub", F.when(F.col("far"), F.col("own")).otherwise(F.col("other")).alias("bx"), F.when(F.col("far"), F.col("other")).otherwise(F.col("own")).alias("by"), "far", "rep", "d", "comp")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        far, rep, d, comp = (table[c].to_numpy() for c in ("far", "rep", "d", "comp"))
+        far = far.astype(bool)
+        return _may_link(table, np.flatnonzero(far), np.flatnonzero(~far), lambda k, y: (comp[k] != comp[y]) & (d[k] - d[y] <= 0.25 + 1e-9))
+
+    return dealt.join(deep, "rep").groupBy("hub", "bx", "by").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    return written(_verified(pairs, texts).where(_is_link()).select("a", "b"), name)
+
+
+def _hub_links(members: DataFrame, classes: DataFrame, deep: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+    """links, and more: those between classes that only long lists vouch for, without forming a long list's pairs.
+
+    members: v, rep, n, indexed. In a round each list's least indexed class is its hub, and is compared with the list's others. Those linked
+    with the hub are joined through it and leave the list, as does the hub. Jaccard distance is a metric, so a class that stays
+    can be linked with one that leaves only if its distance from the hub is in (1/4, 1/2]: it is compared with those that
+    leave whose distance from the hub is within 1/4 of its own. Classes that are in one component already needn't be
+    compared, and a list of one component is done: so a list of near copies of one text is settled in a round. A short list has its
+    pairs formed; what a round of hubs leaves of a list is compared within one task if it is no longer than CROSS_ROWS, a limit
+    that grows with each round, so that the rounds grow with the logarithm of the longest list.
+    """
+    short, members = SHORT_LIST, members.withColumn("comp", F.col("rep"))
     while True:
-        counted = members.join(members.groupBy("v").agg(F.count("*").alias("c"), F.min("rep").alias("hub")), "v")
-        counted = written(counted.where("c > 1"), "members")
-        yield _verified(written(_estimated(_short_pairs(counted).distinct(), classes, FLOOR), "short"), texts)
-        long_ = counted.where(F.col("c") > SHORT_LIST)
+        mark = F.xxhash64("rep", "indexed")
+        stats = members.groupBy("v").agg(F.bit_xor(mark).alias("m1"), F.bit_xor(F.xxhash64(mark)).alias("m2"), F.count("*").alias("c"), F.count_if("indexed").alias("ci"), F.min(F.when(F.col("indexed"), F.col("rep"))).alias("hub"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2 and ci > 0")
+        # of lists with the same members, as the words of one passage make, one is enough
+        stats = stats.groupBy("m1", "m2", "c", "ci", "hub").agg(F.min("v").alias("v")).drop("m1", "m2")
+        counted = written(members.join(stats, "v"), "members")
+        if short == SHORT_LIST:
+            may, is_long = _estimated(_short_pairs(counted), classes, FLOOR), F.col("c") * F.col("ci") > short * short
+        else:
+            may, is_long = _within(counted.where(F.col("c") <= short), deep), F.col("c") > short
+        links = links.unionByName(_linked(written(may, "short"), texts, "links"))
+        long_ = counted.where(is_long)
         if long_.isEmpty():
-            return
-        hubs = long_.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+            return links
+        hubs = long_.where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
         judged = written(_verified(written(_estimated(hubs, classes, HUB_FLOOR), "hubs"), texts), "judged")
-        yield judged
-        at = long_.where("rep <> hub").join(judged.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("shared") / F.col("total")).alias("d"), _is_link().alias("linked")), ["hub", "rep"], "left")
-        at = written(at.withColumn("linked", F.coalesce("linked", F.lit(False))), "distances")
-        mid = at.where("not linked and d <= 0.5").select("v", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"))
-        star = at.where("linked").select("v", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"))
-        cross = mid.join(star, "v").where((F.col("dx") - F.col("dy") <= 0.25) & _alike(F.col("nx"), F.col("ny")))
-        cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        yield _verified(written(_estimated(cross, classes, FLOOR), "cross"), texts)
-        members = at.where("not linked").select("v", "rep", "n")
+        links = links.unionByName(judged.where(_is_link()).select("a", "b"))
+        roots = components.roots(links).select(F.col("node").alias("rep"), F.col("root").alias("known"))
+        found = judged.withColumn("d", 1 - F.col("shared") / F.col("total")).withColumn("linked", _is_link())
+        distance = found.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "d", "linked").unionByName(found.select(F.col("b").alias("hub"), F.col("a").alias("rep"), "d", "linked"))
+        at = long_.where("rep <> hub").drop("comp").join(distance, ["hub", "rep"], "left").join(roots, "rep", "left")
+        at = written(at.withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("comp", F.coalesce("known", "rep")), "distances")
+        sides = at.where("linked or d <= 0.5").select("hub", (~F.col("linked")).alias("far"), "rep", "d", "comp").distinct()
+        links = links.unionByName(_linked(written(_crossed(sides, deep), "cross"), texts, "links"))
+        members = at.where("not linked").select("v", "rep", "n", "comp", "indexed")
+        short = CROSS_ROWS if short == SHORT_LIST else short * PATIENCE
 
 
 def clusters(docs: DataFrame) -> DataFrame:
+    """What _clusters() says, as a table of its own: the sketches, lists and links that led to it are deleted."""
+    with scratch(docs.sparkSession):
+        return written(_clusters(docs), "clusters", keep=True)
+
+
+def _clusters(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row.
 
     Rows of equal sets are one class, known by its least doc_id. Sketches of classes are inverted: classes that share a value of a
-    short list are paired; a class with too few such values goes on to the next tier of its sketch, among its like, and at last to
-    hubs of long lists. Union sketches drop what is far from a link, whole sets settle the rest, and components
+    short list are paired; classes with too few such values are compared among themselves, by the rarest values of a deeper
+    sketch and by hubs of lists that are long even so. Union sketches drop what is far from a link, whole sets settle the rest, and components
     join links. Every link is found but for sketches that share no value at all (less than one in 10**7). Empty and null
     texts have no set and are linked with nothing, and so are rows without a doc_id (their component is null). Equal texts are
     linked, of any number. Other columns of docs are left aside, repeated rows get a row each, an empty table gives an empty one.
@@ -156,28 +287,16 @@ def clusters(docs: DataFrame) -> DataFrame:
     rows = written(sketched(docs), "sketches")
     known = rows.where("n > 0 and doc_id is not null")
     classes = written(known.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    lists = _lists(classes, TIERS[0], "lists")
-    pairs = written(_estimated(_short_pairs(lists).distinct(), classes, FLOOR), "pairs")
-    unsafe = written(_unsafe(classes, lists, TIERS[0]), "unsafe")
-    deeper = None
+    lists = _lists(classes.select("rep", "n", F.explode(F.slice("sketch", 1, INVERTED)).alias("v")), "lists")
+    pairs = written(_estimated(_short_pairs(lists), classes, FLOOR), "pairs")
+    unsafe = written(_unsafe(classes, lists), "unsafe")
+    # ids grow with the documents, so their join with texts is a merge at every size
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(unsafe.select(F.col("rep").alias("doc_id")))
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(needed.distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    links = _linked(pairs, texts, "links")
     if not unsafe.isEmpty():
-        second = _lists(unsafe, TIERS[1], "lists")
-        pairs = written(pairs.unionByName(_estimated(_short_pairs(second).distinct(), classes, FLOOR)).distinct(), "pairs")
-        # a set that ends before the second tier has no value there to vouch for it
-        ended = unsafe.where(F.size("sketch") < TIERS[1][0] + SAFE)
-        deeper = written(_unsafe(unsafe, second, TIERS[1]).unionByName(ended).dropDuplicates(["mark"]), "deeper")
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    if deeper is not None:
-        needed = needed.unionByName(deeper.select(F.col("rep").alias("doc_id")))
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(needed.distinct(), "doc_id", "left_semi"), "texts")
-    judged = [_verified(pairs, texts)]
-    if deeper is not None and not deeper.isEmpty():
-        flat = deeper.select("rep", "n", F.explode(F.slice("sketch", 1, TIERS[0][1])).alias("v"))
-        judged += _hub_links(flat, classes, texts)
-    links = None
-    for found in judged:
-        kept = found.where(_is_link()).select("a", "b")
-        links = kept if links is None else links.unionByName(kept)
+        deep = _deep(unsafe, texts)
+        links = _hub_links(_prefixes(deep), classes, deep, texts, links)
     roots = components.roots(links)
     named = classes.select("mark", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("mark", F.coalesce("root", "rep").alias("component"))
     placed = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("mark")).alias("mark")).join(named, "mark", "left")
