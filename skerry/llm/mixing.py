@@ -129,12 +129,14 @@ def _blocked(rows: DataFrame, blocks: Column, seed: int) -> DataFrame:
     return rows.withColumn("blocks", blocks).withColumn("g", F.xxhash64(F.lit(seed), "source", F.col("source").isNull(), "blocks", F.pmod(F.xxhash64("h", "blocks"), F.col("blocks"))))
 
 
-def _row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+def _row_hash(docs: DataFrame) -> tuple[Column, Column]:
+    """128 bits of hash of a whole row: h and k, never null."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit(1), *columns).alias("k")
 
 
 def choose(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, block_rows: int = BLOCK_ROWS, seed: int = 1) -> DataFrame:
-    """Units (rows alike in every column) with doc_id, h, source, size, m, source_size, target and total.
+    """Units (rows alike in every column) with doc_id, h, k (hashes), source, size, m, source_size, target and total.
 
     m rows are alike; together they are taken `total` times. A row is taken floor(target / source_size) times, and once
     more if it is in a balanced sample drawn with the remaining probability: the sample's rows and
@@ -144,8 +146,8 @@ def choose(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = S
     last one's units. Null text has size 0; null is a source; a source without words takes none. Reruns agree: draws are seeded
     by a hash of source and block, and units are ordered by a hash of their content.
     """
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), _row_hash(docs).alias("h"))
-    units = written(rows.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("m")), "units")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *_row_hash(docs))
+    units = written(rows.groupBy("doc_id", "source", "size", "h", "k").agg(F.count("*").alias("m")), "units")
     sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n"))
     aims = written(targets(sources.select("source", "source_size"), weights, share, repeats).join(sources.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -164,20 +166,22 @@ def choose(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = S
         n = 2 * -(-n // block_rows)
         fewer = F.greatest(F.lit(1), F.ceil(2 * F.col("blocks") / F.lit(block_rows))).cast("long")
         open_ = _blocked(flown.where("p > 0 and p < 1"), fewer, seed)
-    return done.select("doc_id", "h", "source", "size", "m", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("total"))
+    return done.select("doc_id", "h", "k", "source", "size", "m", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("total"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every row; rows alike share their unit's copies evenly."""
-    each = choose(docs).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("k"))
-    copies = F.floor(F.col("total") / F.col("m")) + F.when(F.col("k") < F.col("total") % F.col("m"), 1).otherwise(0)
+    each = choose(docs).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("at"))
+    copies = F.floor(F.col("total") / F.col("m")) + F.when(F.col("at") < F.col("total") % F.col("m"), 1).otherwise(0)
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows, with docs' own columns, each as many times as the mix takes it. A null doc_id is a doc_id of its own."""
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col("doc_id").alias("doc_id"), _row_hash(docs).alias("h"))
-    units = choose(docs, **options).where("total > 0").select(F.col("doc_id").alias("d"), F.col("h").alias("uh"), "total")
-    one = keyed.groupBy("h", "doc_id").agg(F.first("own").alias("own"))  # rows alike meet in the map-side aggregate
-    found = one.join(units, (F.col("h") == F.col("uh")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    """docs' rows, with docs' own columns, each as many times as the mix takes it.
+
+    Rows alike meet in the map-side aggregate; the one shuffle of texts, by the rows' hashes, serves the join with the units too.
+    """
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), *_row_hash(docs))
+    units = choose(docs, **options).where("total > 0").select("h", "k", "total")
+    found = keyed.groupBy("h", "k").agg(F.first("own").alias("own")).join(units.hint("merge"), ["h", "k"])
     return found.select("own", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total")))).select("own.*")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,18 +24,40 @@ def _home(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/skerry-{spark.sparkContext.applicationId}"
 
 
+_SCOPES: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; what is to outlive them is written after."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application has written; DataFrames that read them are no longer of use."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_home(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _home(spark))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
-    The table outlives executors, so later jobs never rerun what made it.
+    The table outlives executors, so later jobs never rerun what made it. keep: it outlives a scratch() as well.
     """
     spark = df.sparkSession
     path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
