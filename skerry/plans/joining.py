@@ -139,6 +139,15 @@ def notification_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.members(signals, notes, "signal", {"source_id": "ids", "episode_id": "eps"}, "note")
 
 
+@query("notification_membership_whole", "WITH n AS (SELECT user_id AS note, event_id + 1 AS id, user_id % 20 AS ep FROM events WHERE event_id % 3 = 0) SELECT note, event_id AS signal FROM events JOIN n ON id = event_id UNION SELECT note, event_id FROM events JOIN (SELECT DISTINCT note, ep FROM n) ON ep = user_id")
+def notification_membership_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All signals by all notifications, by either id; each third event is a notification."""
+    e = table(spark, sf_dir, "events")
+    notes = e.where("event_id % 3 = 0").groupBy(F.col("user_id").alias("note")).agg(F.collect_list(F.col("event_id") + 1).alias("ids"), F.collect_set(F.col("user_id") % 20).alias("eps"))
+    signals = e.select(F.col("event_id").alias("signal"), F.col("event_id").alias("source_id"), F.col("user_id").alias("episode_id"))
+    return j.members(signals, notes, "signal", {"source_id": "ids", "episode_id": "eps"}, "note")
+
+
 @query("never_notified", "SELECT event_id FROM events WHERE event_type = 'error' AND user_id % 50 <> 7 AND event_id NOT IN (SELECT event_id + 1 FROM events WHERE event_id % 3 = 0) AND user_id NOT IN (SELECT user_id % 20 FROM events)")
 def never_notified(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
