@@ -103,6 +103,22 @@ def causal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("causes", F.array_join("causes", ",")).withColumn("cause_ids", F.array_join("cause_ids", ","))
 
 
+_WHOLE_CAUSE_SQL = f"""WITH ep AS (SELECT {_EP} FROM events), f AS (SELECT * FROM ep WHERE state = 'firing'),
+  e(cause, symptom, pair) AS (VALUES {", ".join(f"('{c}', '{s}', {'true' if len(k) > 1 else 'false'})" for c, (k, symptoms) in catalog.CAUSES.items() for s in symptoms)}),
+  wide AS (SELECT alertname, cluster_id, min(struct_pack(id := incident_id, o := opened_at)) AS c FROM f GROUP BY ALL),
+  near AS (SELECT alertname, cluster_id, collector_id, min(struct_pack(id := incident_id, o := opened_at)) AS c FROM f GROUP BY ALL),
+  m AS (SELECT s.incident_id, s.opened_at, e.cause, x.c FROM f s JOIN e ON e.symptom = s.alertname AND NOT e.pair JOIN wide x ON x.alertname = e.cause AND x.cluster_id = s.cluster_id
+    UNION ALL SELECT s.incident_id, s.opened_at, e.cause, x.c FROM f s JOIN e ON e.symptom = s.alertname AND e.pair JOIN near x ON x.alertname = e.cause AND x.cluster_id = s.cluster_id AND x.collector_id = s.collector_id)
+  SELECT incident_id, string_agg(cause, ',' ORDER BY cause) AS causes, string_agg(c.id, ',' ORDER BY cause) AS cause_ids, round(1 - product(0.5), 4) AS belief, false AS measured, bool_and(c.o <= opened_at) AS precedes FROM m GROUP BY incident_id"""
+
+
+@query("causal_candidates_whole", _WHOLE_CAUSE_SQL)
+def causal_candidates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Causes of all firing episodes; the SQL joins with the first cause of each key, as no edge leads to its own label."""
+    got = j.candidate_causes(table(spark, sf_dir, "events").selectExpr(*_split(_EP)), catalog.edges(spark))
+    return got.withColumn("causes", F.array_join("causes", ",")).withColumn("cause_ids", F.array_join("cause_ids", ","))
+
+
 def _split(columns: str) -> list[str]:
     """A select list without nested commas inside CASE as its expressions."""
     out, depth, part = [], 0, ""

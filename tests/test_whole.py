@@ -16,7 +16,7 @@ KINDS = ("click", "view", "signup", "purchase", "error")
 def events(spark, tmp_path_factory):
     """4,000 events of 60 users."""
     folder = tmp_path_factory.mktemp("whole")
-    rows = [(k, k * 7 % 60, KINDS[k % 5], float(k % 490), START + dt.timedelta(minutes=10 * k), '{"k": 1}') for k in range(4000)]
+    rows = [(k, (k * 7 + k // 60) % 60, KINDS[k % 5], float(k % 490), START + dt.timedelta(minutes=10 * k), '{"k": 1}') for k in range(4000)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp_ntz, props string").write.parquet(f"{folder}/events.parquet")
     return str(folder), rows
 
@@ -31,3 +31,20 @@ def test_members_of_all_notifications(spark, events):
     want = {(note, r[0]) for r in rows for note in by_id.get(r[0], set()) | by_episode.get(r[1], set())}
     got = [(r.note, r.signal) for r in QUERIES["notification_membership_whole"](spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want and max(s for _, s in got) > 2002
+
+
+def test_causes_of_all_firing_episodes(spark, events):
+    sf, rows = events
+    names = ("collector-down", "data-loss", "ingest-flow", "telemetry-silence", "heap-spiral", "shipping-breaking")
+    firing = [(f"e{i}", names[i % 6], f"c{u % 50}", f"n{u}") for i, u, *_ in rows if i % 4]
+    want = {}
+    for incident, symptom, cluster, collector in firing:
+        found = {}
+        for cause, (keys, symptoms) in catalog.CAUSES.items():
+            ids = [c[0] for c in firing if symptom in symptoms and c[1] == cause and c[2] == cluster and (len(keys) == 1 or c[3] == collector)]
+            if ids:
+                found[cause] = min(ids)
+        if found:
+            want[incident] = (",".join(sorted(found)), ",".join(found[c] for c in sorted(found)))
+    got = {r.incident_id: (r.causes, r.cause_ids) for r in QUERIES["causal_candidates_whole"](spark, sf).collect()}
+    assert got == want and any(int(i[1:]) >= 3000 for i in got)
