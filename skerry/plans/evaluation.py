@@ -9,10 +9,10 @@ from skerry.functions import parsing as p
 from skerry.operators import aggregates as a
 from skerry.operators import evaluation as v
 from skerry.operators import quality
-from skerry.plans.projection import SIGNALS_SQL, signals
+from skerry.plans.projection import SIGNALS_SQL, monitor_episodes, signals
 from skerry.plans.registry import query
 from skerry.session import AS_OF, DAY
-from skerry.sources.adapters import LOG, METRICS, ROSTER, log_events, metric_samples, roster, table
+from skerry.sources.adapters import ALERTS, LOG, METRICS, ROSTER, alerts, log_events, metric_samples, roster, table
 
 W, M, S = f"WITH {LOG} ", f"WITH {METRICS} ", f"WITH {SIGNALS_SQL} "
 
@@ -97,8 +97,16 @@ def _search(name: str, where: str, sql: str) -> None:
         return log_events(spark, sf_dir).where(where).select("event_id", "collector_ms", "origin_host", "severity_norm").orderBy(F.desc("collector_ms"), F.desc("event_id")).limit(100)
 
 
+def _search_all(name: str, where: str, sql: str) -> None:
+    @query(f"search_{name}_all", W + f"SELECT event_id, collector_ms, origin_host, severity_norm FROM log_events WHERE {sql} ORDER BY collector_ms DESC, event_id DESC")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """A saved search: all records that match, the last first."""
+        return log_events(spark, sf_dir).where(where).select("event_id", "collector_ms", "origin_host", "severity_norm").orderBy(F.desc("collector_ms"), F.desc("event_id"))
+
+
 for _name, (_where, _sql) in _SEARCHES.items():
     _search(_name, _where, _sql)
+    _search_all(_name, _where, _sql)
 
 
 @query("search_text", "SELECT doc_id FROM documents WHERE list_has_any(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), ['tcp', 'connection', 'refused', 'timeout', 'worthless'])")
@@ -116,6 +124,32 @@ for _state in ("firing", "resolved"):
     _signals(_state)
 
 
+def _signals_all(name: str, where: str) -> None:
+    @query(f"search_signals_{name}", S + f"SELECT source_id, alertname, severity, last_seen FROM signals WHERE {where} ORDER BY severity, last_seen DESC, source_id")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return signals(spark, sf_dir).where(where).select("source_id", "alertname", "severity", "last_seen").orderBy("severity", F.desc("last_seen"), "source_id")
+
+
+for _name, _where in {"firing_all": "state = 'firing'", "resolved_all": "state = 'resolved'", "all": "true"}.items():
+    _signals_all(_name, _where)
+
+
+@query("search_alerts_active", f"WITH {ALERTS} SELECT id, monitor_name, severity, state, start_time FROM alerts WHERE state = 'ACTIVE' ORDER BY start_time DESC, id")
+def search_alerts_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts(spark, sf_dir).where("state = 'ACTIVE'").select("id", "monitor_name", "severity", "state", "start_time").orderBy(F.desc("start_time"), "id")
+
+
+def _episodes(name: str, where: str, latest: str) -> None:
+    @query(f"search_episodes_{name}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """A saved search over the episodes of monitors, the latest first."""
+        return monitor_episodes(spark, sf_dir).where(where).select("episode_id", "incident_id", "severity", "episode_state", "opened_at", "last_seen", "resolved_at").orderBy(F.desc(latest), "episode_id")
+
+
+for _name, _where, _latest in (("open", "state = 'firing'", "last_seen"), ("history", "true", "opened_at"), ("resolved", "state = 'resolved'", "resolved_at")):
+    _episodes(_name, _where, _latest)
+
+
 @query("panel_distribution", W + "SELECT family, round(quantile_cont(enter_system_lag_ms, 0.5), 3) AS p50, round(quantile_cont(enter_system_lag_ms, 0.95), 3) AS p95, max(enter_system_lag_ms) AS most FROM log_events GROUP BY family")
 def panel_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     lag = "enter_system_lag_ms"

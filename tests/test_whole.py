@@ -48,3 +48,35 @@ def test_causes_of_all_firing_episodes(spark, events):
             want[incident] = (",".join(sorted(found)), ",".join(found[c] for c in sorted(found)))
     got = {r.incident_id: (r.causes, r.cause_ids) for r in QUERIES["causal_candidates_whole"](spark, sf).collect()}
     assert got == want and any(int(i[1:]) >= 3000 for i in got)
+
+
+def test_searches_return_every_match_in_order(spark, events):
+    sf, rows = events
+    want = [r[0] for r in reversed(rows) if r[2] == "error"]
+    assert [r.event_id for r in QUERIES["search_errors_all"](spark, sf).collect()] == want and len(want) > 100
+    every = {n for n in QUERIES if n.startswith("search_") and n.removesuffix("_all") in QUERIES}
+    assert {f"{n}_all" for n in ORACLES if "LIMIT 100" in ORACLES[n]} <= every
+
+
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    """1,500 alerts of 60 customers, all of them open and shut in turn."""
+    folder = tmp_path_factory.mktemp("alerts")
+    rows = [(k, k * 11 % 60, "OFP"[k % 3], START + dt.timedelta(days=k * 13 % 50)) for k in range(1500)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz").write.parquet(f"{folder}/orders.parquet")
+    return str(folder), rows
+
+
+def test_searches_over_signals_alerts_and_episodes(spark, orders):
+    sf, rows = orders
+    active = [r for r in rows if r[2] == "O"]
+    got = [r.id for r in QUERIES["search_alerts_active"](spark, sf).collect()]
+    assert got == [f"a{r[0]}" for r in sorted(active, key=lambda r: (-r[3].timestamp(), f"a{r[0]}"))]
+    known = [r for r in rows if r[0] % 5 != 4]
+    assert QUERIES["search_signals_all"](spark, sf).count() == len(known) > 100
+    assert QUERIES["search_signals_firing_all"](spark, sf).count() == len([r for r in known if r[2] != "F"]) > 100
+    history = QUERIES["search_episodes_history"](spark, sf).collect()
+    opened = QUERIES["search_episodes_open"](spark, sf).collect()
+    resolved = QUERIES["search_episodes_resolved"](spark, sf).collect()
+    assert [r.opened_at for r in history] == sorted((r.opened_at for r in history), reverse=True)
+    assert {r.episode_id for r in history} == {r.episode_id for r in opened + resolved} and len(history) == len(opened) + len(resolved)
