@@ -90,6 +90,14 @@ def lifecycle_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts(spark, sf_dir).where("bucket_key = 'node-001'").groupBy("monitor_name").agg(F.array_join(F.transform(held, lambda x: x["id"]), ",").alias("ids"))
 
 
+@query("lifecycle_sort_whole", f"WITH {ALERTS} SELECT monitor_name, bucket_key, string_agg(id, ',' ORDER BY start_time, last_notification_time, CASE WHEN state IN ('ACTIVE', 'ERROR') THEN 0 ELSE 1 END, id) AS ids FROM alerts GROUP BY monitor_name, bucket_key")
+def lifecycle_sort_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts of every incident in order; those without a bucket are one incident of their monitor."""
+    rank = F.when(F.col("state").isin("ACTIVE", "ERROR"), 0).otherwise(1)
+    held = F.array_sort(F.collect_list(F.struct("start_time", "last_notification_time", rank.alias("rank"), "id")))
+    return alerts(spark, sf_dir).groupBy("monitor_name", "bucket_key").agg(F.array_join(F.transform(held, lambda x: x["id"]), ",").alias("ids"))
+
+
 @query("bounded_membership", W + "SELECT origin_host, least(count(*), 10)::INTEGER AS kept, count(*) > 10 AS truncated, string_agg(event_id, ',' ORDER BY event_id) FILTER (k <= 10) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY origin_host ORDER BY event_id) AS k FROM log_events) GROUP BY origin_host")
 def bounded_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 10 ids of each host and whether there are more: a top-k before collecting, so no list grows."""

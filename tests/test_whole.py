@@ -80,3 +80,14 @@ def test_searches_over_signals_alerts_and_episodes(spark, orders):
     resolved = QUERIES["search_episodes_resolved"](spark, sf).collect()
     assert [r.opened_at for r in history] == sorted((r.opened_at for r in history), reverse=True)
     assert {r.episode_id for r in history} == {r.episode_id for r in opened + resolved} and len(history) == len(opened) + len(resolved)
+
+
+def test_every_incident_has_its_order(spark, orders):
+    sf, rows = orders
+    names = ("collector-down", "data-loss", "heap-spiral", "fleet-fb-silence", "no-such-monitor")
+    want = {}
+    for k, customer, status, day in sorted(rows, key=lambda r: (r[3], r[1] % 1000, r[2] == "F", f"a{r[0]}")):
+        bucket = None if k % 13 == 0 else f"node-{customer % 40 + 1:03d}"
+        want.setdefault((names[k % 5], bucket), []).append(f"a{k}")
+    got = {(r.monitor_name, r.bucket_key): r.ids.split(",") for r in QUERIES["lifecycle_sort_whole"](spark, sf).collect()}
+    assert got == want and len({b for _, b in got}) > 1
