@@ -54,6 +54,13 @@ def heartbeat_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.heartbeat_absence(roster(spark, sf_dir), seen, "collector_id", "ts", AS_OF, 2 * DAY)
 
 
+@query("heartbeat_absence_whole", f"WITH {LOG}, {ROSTER}, {METRICS} SELECT collector_id, CASE WHEN {AS_OF} - last_ms <= {2 * DAY} THEN 0 ELSE 1 END::INTEGER AS missing, {AS_OF} - last_ms AS age_ms FROM (SELECT DISTINCT collector_id FROM roster) LEFT JOIN (SELECT collector_id, max(ts) AS last_ms FROM metric_samples WHERE kind = 'fluentbit' GROUP BY collector_id) USING (collector_id)")
+def heartbeat_absence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absence by all fluentbit samples."""
+    seen = metric_samples(spark, sf_dir).where("kind = 'fluentbit'")
+    return j.heartbeat_absence(roster(spark, sf_dir), seen, "collector_id", "ts", AS_OF, 2 * DAY)
+
+
 _CATALOG = "monitors(monitor_name, entity_kind, scope) AS (VALUES " + ", ".join(f"('{n}', '{k}', '{s}')" for n, k, _, s, *_ in catalog.MONITORS) + ")"
 
 

@@ -91,3 +91,12 @@ def test_every_incident_has_its_order(spark, orders):
         want.setdefault((names[k % 5], bucket), []).append(f"a{k}")
     got = {(r.monitor_name, r.bucket_key): r.ids.split(",") for r in QUERIES["lifecycle_sort_whole"](spark, sf).collect()}
     assert got == want and len({b for _, b in got}) > 1
+
+
+def test_heartbeats_of_all_samples_count(spark, tmp_path):
+    """A collector whose samples have ids that the ninth part lacks was seen; one without samples is missing."""
+    now = dt.datetime(2024, 1, 30)
+    rows = [(10, 0, "view", 1.0, now), (11, 1, "click", 1.0, now), (9, 12, "view", 1.0, now - dt.timedelta(days=9))]
+    spark.createDataFrame([(*r, '{"k": 1}') for r in rows], "event_id long, user_id long, event_type string, value double, ts timestamp_ntz, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.collector_id: (r.missing, r.age_ms) for r in QUERIES["heartbeat_absence_whole"](spark, str(tmp_path)).collect()}
+    assert got["node-01"] == (0, 86_400_000) and got["node-03"] == (1, None)
