@@ -29,6 +29,12 @@ META_SQL = f"""{ROLL_SQL}, whole AS (SELECT * FROM rollup UNION ALL SELECT * FRO
     FROM (SELECT DISTINCT ts FROM rollup) b CROSS JOIN (VALUES ('infologger', 'host'), ('infologger', 'node'), ('central', 'host'), ('local', 'host'), ('local', 'node')) k(family, entity_kind)
     LEFT JOIN whole w ON w.ts = b.ts AND w.family = k.family AND w.entity_kind = k.entity_kind GROUP BY ALL)"""
 
+#: The same with the cap of production.
+WHOLE_META_SQL = f"""{ROLL_SQL}, whole AS (SELECT * FROM rollup UNION ALL SELECT * FROM imputed),
+  meta AS (SELECT b.ts, k.family, k.entity_kind, least(count(w.entity), {r.ENTITY_CAP})::BIGINT AS entity_count, count(*) FILTER (w.imputed)::BIGINT AS imputed_count, coalesce(sum(w.doc_count), 0)::BIGINT AS doc_count, count(w.entity) > {r.ENTITY_CAP} AS truncated
+    FROM (SELECT DISTINCT ts FROM rollup) b CROSS JOIN (VALUES ('infologger', 'host'), ('infologger', 'node'), ('central', 'host'), ('local', 'host'), ('local', 'node')) k(family, entity_kind)
+    LEFT JOIN whole w ON w.ts = b.ts AND w.family = k.family AND w.entity_kind = k.entity_kind GROUP BY ALL)"""
+
 
 def rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily entity rows with imputed silence."""
@@ -41,6 +47,12 @@ def rolled_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.meta(whole, whole.where("not imputed"), cap=45)
 
 
+def whole_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata with the cap of production."""
+    whole = rolled(spark, sf_dir)
+    return r.meta(whole, whole.where("not imputed"))
+
+
 @query("rollup_entity", f"WITH {ROLL_SQL} SELECT * FROM rollup")
 def rollup_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.roll(log_events(spark, sf_dir), DAY)
@@ -62,6 +74,22 @@ def rollup_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.commits(rolled_meta(spark, sf_dir)).select("ts", "complete", "observed_cohort_count", F.array_join(listed, ",").alias("cohorts"))
 
 
+@query("rollup_meta_whole", f"WITH {WHOLE_META_SQL} SELECT * FROM meta")
+def rollup_meta_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_meta(spark, sf_dir)
+
+
+@query("rollup_commit_whole", f"WITH {WHOLE_META_SQL} SELECT ts, NOT bool_or(truncated) AS complete, count(*)::BIGINT AS observed_cohort_count, string_agg(family || '/' || entity_kind || ':' || entity_count || ':' || doc_count, ',' ORDER BY family || '/' || entity_kind) AS cohorts FROM meta GROUP BY ts")
+def rollup_commit_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = F.transform("commit_cohorts", lambda c: F.concat(c["cohort"], F.lit(":"), c["entity_count"].cast("string"), F.lit(":"), c["doc_count"].cast("string")))
+    return r.commits(whole_meta(spark, sf_dir)).select("ts", "complete", "observed_cohort_count", F.array_join(listed, ",").alias("cohorts"))
+
+
+@query("entity_cap_whole", f"WITH {WHOLE_META_SQL} SELECT ts, family, entity_kind, entity FROM whole QUALIFY row_number() OVER (PARTITION BY ts, family, entity_kind ORDER BY entity) <= {r.ENTITY_CAP}")
+def entity_cap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.capped(rolled(spark, sf_dir)).select("ts", "family", "entity_kind", "entity")
+
+
 @query("entity_cap", f"WITH {META_SQL} SELECT ts, family, entity_kind, entity FROM whole QUALIFY row_number() OVER (PARTITION BY ts, family, entity_kind ORDER BY entity) <= 4")
 def entity_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.capped(rolled(spark, sf_dir), 4).select("ts", "family", "entity_kind", "entity")

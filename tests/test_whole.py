@@ -100,3 +100,19 @@ def test_heartbeats_of_all_samples_count(spark, tmp_path):
     spark.createDataFrame([(*r, '{"k": 1}') for r in rows], "event_id long, user_id long, event_type string, value double, ts timestamp_ntz, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.collector_id: (r.missing, r.age_ms) for r in QUERIES["heartbeat_absence_whole"](spark, str(tmp_path)).collect()}
     assert got["node-01"] == (0, 86_400_000) and got["node-03"] == (1, None)
+
+
+def test_fifty_hosts_are_no_truncated_cohort(spark, tmp_path):
+    """More hosts a family than the old cap of 45 and fewer than that of production."""
+    rows = [(k, k % 180, "click", 1.0, START + dt.timedelta(days=25, minutes=k), '{"k": 1}') for k in range(180)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp_ntz, props string").write.parquet(f"{tmp_path}/events.parquet")
+    meta = QUERIES["rollup_meta_whole"](spark, str(tmp_path)).where("entity_kind = 'host'").collect()
+    assert {r.entity_count for r in meta} == {60} and not any(r.truncated for r in meta)
+    assert QUERIES["rollup_commit_whole"](spark, str(tmp_path)).first().complete
+    stale = QUERIES["monitor_trend_rollup_stale_whole"](spark, str(tmp_path)).first()
+    assert (stale.n, stale.n_recent, stale.fires) == (1, 0, True)
+    from skerry.operators import rollup
+    from skerry.plans import rollups
+
+    whole = rollups.rolled(spark, str(tmp_path))
+    assert rollup.meta(whole, whole, cap=59).where("truncated").count() == 3
