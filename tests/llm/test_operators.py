@@ -6,7 +6,7 @@ import zlib
 import pyarrow as pa
 import pytest
 
-from skerry.llm import chat, components, contamination, langid, mixing, near, pii, repeats, rules, shards, substrings, suffixes
+from skerry.llm import chat, components, contamination, langid, mixing, near, pii, repeats, rules, shards, store, substrings, suffixes
 from skerry.llm.queries import QUERIES
 from tests.conftest import SF
 from tests.llm import brute
@@ -160,6 +160,19 @@ def test_near_duplicates_in_chains_and_crowds(spark, monkeypatch):
     assert got(out, *NEAR) == sorted(brute.components(rows))
 
 
+def test_a_hub_settles_members_whose_short_sketches_share_little(spark, monkeypatch):
+    """The hub and the last have a Jaccard of 1/2 and 6 of 32 values; the one between is linked with both, and leaves with the hub."""
+    monkeypatch.setattr(near, "SHORT_LIST", 1)
+    words = [f"s6304w{k}" for k in range(404)]
+    others = [(k, f"other text of number {k}") for k in range(3, 23)]  # so that the list is long
+    texts = spark.createDataFrame([(0, " ".join(words[:304])), (1, " ".join(words)), (2, " ".join(words[100:])), *others], "doc_id long, text string")
+    with store.scratch(spark):
+        classes, deep = (near.sketched(texts, most).withColumnRenamed("doc_id", "rep") for most in (near.ESTIMATE, near.DEEP))
+        members = classes.selectExpr("7L AS v", "rep", "n", "true AS indexed")
+        links = near._hub_links(members, classes, deep, texts, spark.createDataFrame([], "a long, b long"))
+        assert {(r.a, r.b) for r in links.collect()} == {(0, 1), (1, 2)}
+
+
 def test_near_duplicates_keep_own_columns_and_rows_without_id(spark, docs, none):
     kept = near.deduplicated(docs)
     assert kept.columns == docs.columns
