@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,8 @@ from skerry.llm.textkit import U
 UNKNOWN = "und"
 #: Labelled rows that training takes at most, over all languages, and characters of each: the sample's documented bounds.
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 1600
+#: Rows of each language that training takes besides, as far as there are any, so that a rare language is learned.
+LANGUAGE_ROWS = 50
 #: Bytes in a subword.
 GRAMS = (1, 2, 3, 4)
 _PIECE = 60  # words in a training example
@@ -164,17 +166,28 @@ def crc_fold(key: Column) -> Column:
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """A model of docs' labelled rows outside fold 2.
 
-    The sample is the `rows` rows first by a hash of doc_id, and a piece of `chars` characters of
-    each: bounded, and the same on every run. Predictions never see lang, source or doc_id.
+    The sample is the `rows` rows first by a hash of doc_id, with the LANGUAGE_ROWS rows of each language first by it, and of each a
+    piece of `chars` characters at a hashed offset: bounded, and the same on every run. Predictions never see lang, source or doc_id.
     """
-    labelled = docs.select("doc_id", F.substring("text", 1, chars).alias("text"), F.col("lang").cast("string").alias("lang"))
-    pool = labelled.where((crc_fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull())
-    # a hash picks about the rows wanted, so what tasks send to the driver doesn't grow with their number
-    share = min(1.0, 1.2 * rows / max(1, pool.count()))
-    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)
-    sample = pool.where(picked & F.col("text").isNotNull())
-    found = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(rows).select("text", "lang").collect()
-    return train([r["text"] for r in found], [r["lang"] for r in found])
+    order, top = F.xxhash64("doc_id"), 1 << 30
+    place = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.length("text") - chars + 1, F.lit(1)))
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    pool = labelled.where((crc_fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # a hash picks about the rows wanted, so what is sorted and what tasks send to the driver doesn't grow with their number
+    sizes = {r["lang"]: r["count"] for r in pool.groupBy("lang").count().collect()}
+    share = min(1.0, 1.2 * rows / max(1, sum(sizes.values())))
+    cuts = [(lang, int(max(share, min(1.0, 2 * LANGUAGE_ROWS / n)) * top) + 1) for lang, n in sizes.items()]
+    most = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long"))
+    picked = pool.join(most, "lang").where(F.pmod(order, F.lit(top)) < F.col("cut"))
+    pieces = picked.select("doc_id", "lang", F.expr("text").substr(place.cast("int") + 1, F.lit(chars)).alias("text"), order.alias("h"), (F.pmod(order, F.lit(top)) < F.lit(int(share * top) + 1)).alias("any"))
+    by = ("h", "doc_id", "lang", "text")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(*by))
+    common = pieces.where("any").orderBy(*by).limit(rows).select(*by)
+    rare = pieces.withColumn("k", first).where(F.col("k") <= LANGUAGE_ROWS)
+    found = {tuple(r[c] for c in by): None for r in common.collect()}
+    found |= {tuple(r[c] for c in by): None for r in rare.select(*by).collect()}
+    found = [(x[3], x[2]) for x in found]
+    return train([t for t, _ in found], [lang for _, lang in found])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

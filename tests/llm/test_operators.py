@@ -124,6 +124,19 @@ def test_language_id(spark, docs, none, table):
     assert {r.lang_pred for r in unlearned} == {"und"}
 
 
+def test_rare_language_is_learned_from_pieces_anywhere(spark, monkeypatch):
+    """Twelve rows in 2,012 are learned though the sample is of 20 rows, and pieces begin at any character."""
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda texts, labels: seen.update(texts=texts, labels=labels))
+    common = [(k, " ".join(f"{'ab'[k % 2]}{k}x{j}" for j in range(40)), ("aa", "bb")[k % 2]) for k in range(2000)]
+    rows = [*common, *[(k, f"rare words {k}", "zz") for k in range(2000, 2012)]]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 20, 60)
+    want = sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(2000, 2012))
+    assert seen["labels"].count("zz") == want > 0 and len(seen["labels"]) <= 20 + 3 * langid.LANGUAGE_ROWS
+    assert all(any(t in text for _, text, _ in rows) for t in seen["texts"])
+    assert sum(any(text.startswith(t) for _, text, _ in rows) for t in seen["texts"]) < len(seen["texts"]) / 2
+
+
 def test_predictions_see_only_the_text(spark, table):
     model = langid.fit(table)
     other = table.selectExpr("doc_id + 1000 AS doc_id", "text", "'zz' AS lang", "null AS source")
