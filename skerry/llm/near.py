@@ -18,20 +18,23 @@ from skerry.llm.textkit import U
 #: Words in a shingle, and the similarity of a link as a fraction: 100 * shared >= 75 * union.
 SHINGLE, LINK = 5, (75, 100)
 #: Values in a sketch: those that are inverted, those that an estimate takes, and the deep sketch of unsafe classes.
-INVERTED, ESTIMATE, DEEP = 16, 32, 256
-#: Least values that the deep sketches of a link share: 192 are expected, and 6 standard deviations are allowed.
+INVERTED, ESTIMATE, DEEP = 24, 32, 256
+#: Least values that the deep sketches of a link share, where both sets are larger than a sketch: fewer are met with a probability of 3.1e-9.
 DEEP_SHARED = 150
+#: The same where just one set is larger, so that the other's sketch is its whole set: fewer are met with a probability under 1e-9.
+MIXED_SHARED = 174
 #: Documents in a list whose pairs are formed directly; in longer lists each meets a hub instead.
 SHORT_LIST = 16
-#: Short-list values that make a document safe: a link shares each with probability 3/4, so all 12 are missed once in 4**12.
-SAFE = 12
-#: Least estimates that are verified: for a link, of ESTIMATE values; and for what a hub's other members may link with, of DEEP values:
-#: at a Jaccard of 1/2 128 are expected, and under 80 are met with a probability of 4.2e-10.
-FLOOR, HUB_FLOOR = 0.34, 80 / DEEP
-#: Classes of each side in a task that compares two blocks.
+#: Inverted values in long lists that a class may have and be safe: a link is then missed only if its sketches share no more values than
+#: these, of INVERTED each with a probability of 3/4 at the least: 3.4e-9.
+HOT = 4
+#: Least estimates that are verified: for a link, of ESTIMATE values (fewer are met with a probability of 4.2e-9); and for what a hub's other
+#: members may link with, of DEEP values: at a Jaccard of 1/2 128 are expected, and under 80 are met with a probability of 4.2e-10.
+FLOOR, HUB_FLOOR = 9 / ESTIMATE, 80 / DEEP
+#: Classes in a block; a task compares two blocks.
 CROSS_ROWS = 512
-#: Pairs that a task verifies.
-CELL_PAIRS = 1000
+#: Shingles, of both sides of all its pairs, that a cell of pairs has in the mean.
+CELL_WORK = 1 << 19
 #: What a list may hold to have its pairs formed grows by this factor with every round of hubs that left it unsettled.
 PATIENCE = 4
 
@@ -79,7 +82,7 @@ def _lists(flat: DataFrame, name: str) -> DataFrame:
 
 
 def _short_pairs(lists: DataFrame, most: int = SHORT_LIST) -> DataFrame:
-    """Pairs of classes, of different components where those are given, that share a value whose list is short."""
+    """Pairs (a, b, w) of classes, of different components where those are given, that share a value whose list is short; w sums their sizes."""
     comp = F.col("comp") if "comp" in lists.columns else F.col("rep")
     indexed = F.col("indexed") if "indexed" in lists.columns else F.lit(True)
     work = F.col("c") * F.col("ci") if "ci" in lists.columns else F.col("c") * F.col("c")
@@ -87,14 +90,14 @@ def _short_pairs(lists: DataFrame, most: int = SHORT_LIST) -> DataFrame:
     other = short.select(F.col("v").alias("w"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("ca").alias("cb"), F.col("ia").alias("ib"))
     meets = (F.col("v") == F.col("w")) & (F.col("rep") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike(F.col("n"), F.col("m"))
     met = short.join(other, meets & ((F.col("ia") & (F.col("n") <= F.col("m"))) | (F.col("ib") & (F.col("m") <= F.col("n")))))
-    return met.select(F.col("rep").alias("a"), "b").distinct()
+    return met.select(F.col("rep").alias("a"), "b", (F.col("n") + F.col("m")).alias("w")).distinct()
 
 
 def _unsafe(classes: DataFrame, lists: DataFrame) -> DataFrame:
-    """mark of classes that too few values outside long lists vouch for."""
+    """mark of classes of whose inverted values more stand in long lists than a link's other values make up for."""
     long_ = lists.where(F.col("c") > SHORT_LIST).groupBy("rep").agg(F.count("*").alias("hot"))
     held = F.least(F.size("sketch"), F.lit(INVERTED))
-    return classes.join(long_, "rep").where(held - F.col("hot") < SAFE).select("rep", "mark")
+    return classes.join(long_, "rep").where((F.col("hot") > HOT) | (LINK[1] * F.col("hot") >= LINK[0] * held)).select("rep", "mark")
 
 
 def _deep(unsafe: DataFrame, texts: DataFrame) -> DataFrame:
@@ -106,40 +109,54 @@ def _deep(unsafe: DataFrame, texts: DataFrame) -> DataFrame:
 def _prefixes(deep: DataFrame) -> DataFrame:
     """rep, n, v, indexed: of each deep sketch the rarest values, so many that a link must share one of them.
 
-    Sets of which at least k values are shared meet among the first (size - k + 1) of each in any common order. Up to DEEP shingles
-    the sketch is the whole set, and k is 3/4 of the larger set and 6/7 of the smaller: as the smaller one of a pair, a class is
-    known by its `indexed` values alone.
+    Sets that share at least k values meet among the first (size - k + 1) of each in any common order. Of two sets of up to DEEP
+    shingles, which are their own sketches, k is 3/4 of the larger set and 6/7 of the smaller: as the smaller one of a pair, a class is
+    known by its `indexed` values alone. A set so large that its partner may be larger than a sketch shares MIXED_SHARED
+    values with that sketch, two larger sets' sketches share DEEP_SHARED: the longest prefix that any partner asks for is taken.
     """
     flat = deep.select("rep", "n", F.explode("sketch").alias("v"))
     counts = flat.groupBy("v").agg(F.count("*").alias("c"))
     w = Window.partitionBy("rep").orderBy("c", "v")
-    length = F.when(F.col("n") <= DEEP, F.col("n") - F.ceil(F.col("n") * LINK[0] / LINK[1]) + 1).otherwise(F.lit(DEEP - DEEP_SHARED + 1))
-    both = LINK[0] + LINK[1]
-    own = F.when(F.col("n") <= DEEP, F.col("n") - F.ceil(F.col("n") * 2 * LINK[0] / both) + 1).otherwise(length)
+    n, both = F.col("n"), LINK[0] + LINK[1]
+    mixed = F.when(LINK[1] * n >= LINK[0] * (DEEP + 1), n - MIXED_SHARED + 1).otherwise(F.lit(0))
+    large = F.lit(DEEP - DEEP_SHARED + 1)
+    length = F.when(n <= DEEP, F.greatest(n - F.ceil(n * LINK[0] / LINK[1]) + 1, mixed)).otherwise(large)
+    own = F.when(n <= DEEP, F.greatest(n - F.ceil(n * 2 * LINK[0] / both) + 1, mixed)).otherwise(large)
     return flat.join(counts, "v").withColumn("k", F.row_number().over(w)).where(F.col("k") <= length).where("c > 1").select("rep", "n", "v", (F.col("k") <= own).alias("indexed"))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, floor: float, most: int = ESTIMATE) -> DataFrame:
-    """Pairs whose union sketch (the lowest `most` values of both) has at least a share `floor` of values of both."""
+    """Pairs (a, b, w) whose union sketch (the lowest `most` values of both) has at least a share `floor` of values of both."""
     cut = F.slice("sketch", 1, most)
-    one = pairs.join(classes.select(F.col("rep").alias("b"), cut.alias("sb")), "b")
-    two = one.join(classes.select(F.col("rep").alias("a"), cut.alias("sa")), "a")
-    union = two.select("a", "b", "sa", "sb", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, most).alias("su"))
+    one = pairs.select("a", "b").join(classes.select(F.col("rep").alias("b"), cut.alias("sb"), F.col("n").alias("nb")), "b")
+    two = one.join(classes.select(F.col("rep").alias("a"), cut.alias("sa"), F.col("n").alias("na")), "a")
+    union = two.select("a", "b", (F.col("na") + F.col("nb")).alias("w"), "sa", "sb", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, most).alias("su"))
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("su")))
-    return union.where(shared >= F.lit(floor) * F.size("su")).select("a", "b").distinct()
+    return union.where(shared >= F.lit(floor) * F.size("su")).select("a", "b", "w").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b, shared and total: the sizes of the intersection and the union of both whole sets.
 
-    pairs: a written table. Pairs are dealt to cells, the cells of a square by a's and b's hashes, of some CELL_PAIRS pairs each. A text
-    goes once to each cell that asks for it, so in a crowd of like texts it is sent as often as the square is wide, not as it has partners.
+    pairs: a written table of a, b and w, the sum of their sizes. Pairs are dealt to cells of some CELL_WORK shingles. Those of a document
+    with more work than a cell's, a hub, are dealt by the other one's hash, to as many cells as the hub's work asks for; all others to the
+    cells of a square, by a's and b's hashes. A text goes once to each cell that asks for it, so in a crowd of like texts it is
+    sent as often as the square is wide, not as it has partners, and a star's hub is all that is sent to many cells.
     """
-    wide = max(1, int((pairs.count() / CELL_PAIRS) ** 0.5 + 0.999))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(wide))
-    asked = pairs.select("a", "b", (place("a") * wide + place("b")).alias("cell"))
-    wanted = asked.select("cell", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sent = wanted.join(texts.select("doc_id", "text"), "doc_id").select(F.col("cell").alias("at"), "doc_id", "text")
+    total = pairs.agg(F.sum("w")).first()[0] or 0
+    wide = max(1, int((total / CELL_WORK) ** 0.5 + 0.999))
+    place = lambda c, n: F.pmod(F.xxhash64(c), n)
+    loads = pairs.select(F.explode(F.array("a", "b")).alias("node"), "w").groupBy("node").agg(F.ceil(F.sum("w") / CELL_WORK).alias("parts")).where("parts > 1")
+    both = pairs.join(loads.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a", "left").join(loads.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b", "left")
+    first = F.coalesce("pa", F.lit(0)) >= F.coalesce("pb", F.lit(0))
+    star = F.coalesce("pa", "pb").isNotNull()
+    x = F.when(~star, place("a", F.lit(wide))).when(first, F.col("a")).otherwise(F.col("b"))
+    y = F.when(~star, place("b", F.lit(wide))).when(first, place("b", F.col("pa"))).otherwise(place("a", F.col("pb")))
+    asked = both.select("a", "b", star.alias("star"), x.alias("x"), y.alias("y"))
+    cell = ["star", "x", "y"]
+    wanted = asked.select(*cell, F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    at = ["at_star", "at_x", "at_y"]
+    sent = wanted.join(texts.select("doc_id", "text"), "doc_id").select(*[F.col(c).alias(d) for c, d in zip(cell, at, strict=True)], "doc_id", "text")
 
     def verify(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         sets: dict[int, list[np.ndarray]] = {}
@@ -154,7 +171,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     out.append((a, b, shared, len(x) + len(y) - shared))
         return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["a", "b", "shared", "total"])
 
-    return sent.groupBy("at").cogroup(asked.groupBy("cell")).applyInArrow(verify, "a long, b long, shared long, total long")
+    return sent.groupBy(*at).cogroup(asked.groupBy(*cell)).applyInArrow(verify, "a long, b long, shared long, total long")
 
 
 def _is_link() -> Column:
@@ -166,7 +183,7 @@ def _alike_sizes(n: int, m: np.ndarray) -> np.ndarray:
 
 
 def _may_link(table: pa.Table, x: np.ndarray, y: np.ndarray, asked: Callable[[int, np.ndarray], np.ndarray]) -> pa.Table:
-    """a, b: pairs of rows x by rows y that are asked for and whose deep sketches share as much as a link's must.
+    """a, b, w: pairs of rows x by rows y that are asked for and whose deep sketches share as much as a link's must.
 
     Values of y are sorted once; a row of x counts what it shares with all of y by looking its values up.
     """
@@ -177,7 +194,7 @@ def _may_link(table: pa.Table, x: np.ndarray, y: np.ndarray, asked: Callable[[in
     owner = np.repeat(np.arange(len(y)), [offsets[k + 1] - offsets[k] for k in y])
     order = np.argsort(held, kind="stable")
     held, owner = held[order], owner[order]
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
     for k in x:
         mine = values[offsets[k] : offsets[k + 1]]
         low, high = np.searchsorted(held, mine, "left"), np.searchsorted(held, mine, "right")
@@ -189,20 +206,29 @@ def _may_link(table: pa.Table, x: np.ndarray, y: np.ndarray, asked: Callable[[in
         part = LINK[0] / (LINK[0] + LINK[1]) * (1 + np.minimum(n[k], n[y]) / np.maximum(n[k], n[y]))
         least = DEEP * part - 6 * np.sqrt(DEEP * part * (1 - part))
         may = np.where(whole, LINK[1] * shared >= LINK[0] * (n[k] + n[y] - shared), shared >= least)
-        out += [(min(rep[k], rep[j]), max(rep[k], rep[j])) for j in y[may & asked(k, y) & (rep[y] != rep[k]) & _alike_sizes(n[k], n[y])]]
+        out += [(min(rep[k], rep[j]), max(rep[k], rep[j]), n[k] + n[j]) for j in y[may & asked(k, y) & (rep[y] != rep[k]) & _alike_sizes(n[k], n[y])]]
     out = sorted(set(out))
-    return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+    return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["a", "b", "w"])
 
 
 def _within(lists: DataFrame, deep: DataFrame) -> DataFrame:
-    """a, b: pairs of a list's members, of different components, that may be links; a task compares one list."""
+    """a, b, w: pairs of a list's members, of different components, that may be links.
+
+    Members are dealt to blocks of CROSS_ROWS by hash and a task compares two blocks, so no task grows with a list.
+    """
+    blocks = F.ceil(F.col("c") / CROSS_ROWS).cast("long")
+    rows = lists.select("v", "rep", "comp", "indexed", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = rows.select("v", F.least("own", "other").alias("bx"), F.greatest("own", "other").alias("by"), "own", "rep", "comp", "indexed")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        n, comp, indexed = (table[c].to_numpy() for c in ("n", "comp", "indexed"))
-        every = np.arange(len(n))
-        return _may_link(table, np.flatnonzero(indexed.astype(bool)), every, lambda k, y: (comp[k] != comp[y]) & (n[k] <= n[y]))
+        n, comp, indexed, own = (table[c].to_numpy() for c in ("n", "comp", "indexed", "own"))
+        bx, by = key[1].as_py(), key[2].as_py()
+        asked = lambda k, y: (comp[k] != comp[y]) & (n[k] <= n[y])
+        sides = ((bx, by), (by, bx)) if bx != by else ((bx, bx),)
+        return pa.concat_tables([_may_link(table, np.flatnonzero(indexed.astype(bool) & (own == p)), np.flatnonzero(own == q), asked) for p, q in sides])
 
-    return lists.select("v", "rep", "comp", "indexed").join(deep, "rep").groupBy("v").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.join(deep, "rep").groupBy("v", "bx", "by").applyInArrow(compare, "a long, b long, w long").distinct()
 
 
 def _crossed(sides: DataFrame, deep: DataFrame) -> DataFrame:
@@ -222,7 +248,7 @@ def _crossed(sides: DataFrame, deep: DataFrame) -> DataFrame:
         far = far.astype(bool)
         return _may_link(table, np.flatnonzero(far), np.flatnonzero(~far), lambda k, y: (comp[k] != comp[y]) & (d[k] - d[y] <= 0.25 + 1e-9))
 
-    return dealt.join(deep, "rep").groupBy("hub", "bx", "by").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.join(deep, "rep").groupBy("hub", "bx", "by").applyInArrow(compare, "a long, b long, w long").distinct()
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
@@ -237,8 +263,8 @@ def _hub_links(members: DataFrame, classes: DataFrame, deep: DataFrame, texts: D
     can be linked with one that leaves only if its distance from the hub is in (1/4, 1/2]: it is compared with those that
     leave whose distance from the hub is within 1/4 of its own. Classes that are in one component already needn't be
     compared, and a list of one component is done: so a list of near copies of one text is settled in a round. A short list has its
-    pairs formed; what a round of hubs leaves of a list is compared within one task if it is no longer than CROSS_ROWS, a limit
-    that grows with each round, so that the rounds grow with the logarithm of the longest list.
+    pairs formed; what a round of hubs leaves of a list is compared block by block if it is no longer than CROSS_ROWS, a limit
+    that grows with each round, so that the rounds grow with the logarithm of the longest list. A task never has more than two blocks.
     """
     short, members = SHORT_LIST, members.withColumn("comp", F.col("rep"))
     while True:
@@ -282,8 +308,8 @@ def _clusters(docs: DataFrame) -> DataFrame:
     short list are paired; classes with too few such values are compared among themselves, by the rarest values of a deeper
     sketch and by hubs of lists that are long even so. Union sketches drop what is far from a link, whole sets settle the rest, and components
     join links. Every link is found but for sketches that share too little by chance: at the limit of 0.75 a link is lost with a
-    probability under one in 10**6 (the estimate's floor 2.4e-7, the missed short lists 6.0e-8, the deep sketches 3.1e-9, and 4.2e-10 for each
-    hub's floor). Empty and null
+    probability under 2e-8 (the estimate's floor 4.2e-9, the missed short lists 3.4e-9, the deep sketches 3.1e-9, their prefixes as much,
+    and 4.2e-10 for each hub's floor). Very long texts are hashed whole, a text at a time; ties of hash values are ordered by the value. Empty and null
     texts have no set and are linked with nothing, and so are rows without a doc_id (their component is null). Equal texts are
     linked, of any number. Other columns of docs are left aside, repeated rows get a row each, an empty table gives an empty one.
     """

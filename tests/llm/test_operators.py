@@ -186,6 +186,35 @@ def test_a_hub_settles_members_whose_short_sketches_share_little(spark, monkeypa
         assert {(r.a, r.b) for r in links.collect()} == {(0, 1), (1, 2)}
 
 
+def _mixed_crowd(seed, x, y, at):
+    """A text of 251 shingles, one of more than a sketch's that extends it, and 50 that hold four of its five blocks each."""
+    base = [f"s{seed}p{i}" for i in range(255)]
+    rows = [(at, " ".join(base)), (at + 900, " ".join(base + [f"s{seed}b{i}" for i in range(x)]))]
+    for k in range(50):
+        cut = 51 * (k % 5)
+        rows.append((at + 1 + k, " ".join(base[:cut] + base[cut + 51 :] + [f"s{seed}d{k}.{i}" for i in range(y)])))
+    return rows
+
+
+def test_links_between_sets_on_either_side_of_a_sketch(spark):
+    """Ten crowds in which the one pair of near duplicates has 251 shingles on one side and over 256 on the other."""
+    rows = [r for seed in range(10) for x, y in ((80, 124), (76, 134)) for r in _mixed_crowd(f"{seed}.{x}.", x, y, 1000 * (2 * seed + (x == 76)))]
+    rows += _mixed_crowd(1, 80, 124, 50_000) + _mixed_crowd(4, 76, 134, 60_000)
+    out = near.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    crowds = [[r for r in rows if r[0] // 1000 == k] for k in sorted({d // 1000 for d, _ in rows})]
+    assert got(out, *NEAR) == sorted(c for crowd in crowds for c in brute.components(crowd))
+
+
+def test_stars_and_lists_are_dealt_to_many_tasks(spark, monkeypatch):
+    """A hub's pairs and a long list's blocks go to many cells, and nothing is lost."""
+    monkeypatch.setattr(near, "CELL_WORK", 500)
+    monkeypatch.setattr(near, "CROSS_ROWS", 4)
+    monkeypatch.setattr(near, "SHORT_LIST", 2)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(base[: 60 - k % 20] + [f"x{k}.{j}" for j in range(k % 7)])) for k in range(60)]
+    assert got(near.report(spark.createDataFrame(rows, "doc_id long, text string")), *NEAR) == sorted(brute.components(rows))
+
+
 def test_near_duplicates_keep_own_columns_and_rows_without_id(spark, docs, none):
     kept = near.deduplicated(docs)
     assert kept.columns == docs.columns
