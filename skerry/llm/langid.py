@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skerry.llm import textkit as tk
+from skerry.llm.store import written
 from skerry.llm.textkit import U
 
 UNKNOWN = "und"
@@ -20,6 +21,9 @@ UNKNOWN = "und"
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 1600
 #: Rows of each language that training takes besides, as far as there are any, so that a rare language is learned.
 LANGUAGE_ROWS = 50
+#: What calibration asks of the rows that are accepted: the share of wrong ones at most, and the share of right ones that are lost at most.
+RISK, LOST = 0.01, 0.0005
+_BINS = 10_000  # of scores, in a calibration's counts
 #: Bytes in a subword.
 GRAMS = (1, 2, 3, 4)
 _PIECE = 60  # words in a training example
@@ -33,7 +37,7 @@ class Model:
     table: np.ndarray  # buckets x languages, float32
     bias: np.ndarray
     temperature: float
-    floor: float  # calibrated: scores below it are rejected
+    floor: float | None = None  # scores below it are rejected; None until calibrated
 
 
 def _subwords(w: tk.Words, buckets: int, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
@@ -98,16 +102,15 @@ def logits(texts: pa.Array, model: Model) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int = 16, steps: int = 400, rate: float = 0.5, boost: float = 4.0, rejected: float = 0.0005, seed: int = 7) -> Model:
-    """Stochastic gradient descent in numpy over pieces of the texts; a fifth of them is held back to calibrate.
+def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int = 16, steps: int = 400, rate: float = 0.5, boost: float = 4.0, seed: int = 7) -> Model:
+    """Stochastic gradient descent in numpy over pieces of the texts; a fifth of the texts is held back for the temperature.
 
-    The temperature is the one, of a grid, with the least log loss on the pieces held back. The floor is such that
-    a share `rejected` of whole held-back texts would score less, halved for a margin.
+    The temperature is the one, of a grid, with the least log loss on the texts held back. The floor is left to calibrate().
     """
     rng = np.random.default_rng(seed)
     languages = tuple(sorted(set(labels)))
     if len(languages) < 2:
-        return Model(languages, np.zeros((buckets, len(languages)), np.float32), np.zeros(len(languages)), 1.0, 0.0)
+        return Model(languages, np.zeros((buckets, len(languages)), np.float32), np.zeros(len(languages)), 1.0)
     w = tk.words(pa.array(texts, pa.large_string()))
     distinct, back = _distinct(w)
     subwords, begin = _subwords(distinct, buckets)
@@ -143,7 +146,7 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int
             used, at_id = np.unique(ids, return_inverse=True)
             for j in range(dim):
                 table[used, j] -= boost * lr * len(truth) / 4 * np.bincount(at_id, back_to[owner, j], len(used))
-    folded = Model(languages, (table @ weight).astype(np.float32), bias, 1.0, 0.0)
+    folded = Model(languages, (table @ weight).astype(np.float32), bias, 1.0)
     kept_back = [k for k in range(len(texts)) if held[k] and w.counts[k]]
     if not kept_back:
         return folded
@@ -151,11 +154,7 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int
     truth = y[kept_back]
     grid = (0.25, 0.5, 1.0, 2.0, 4.0)
     loss = [-np.log(_softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
-    temperature = grid[int(np.argmin(loss))]
-    right = _softmax(z / temperature).max(axis=1)[z.argmax(axis=1) == truth]
-    floor = float(np.quantile(right, rejected)) if len(right) else 0.0
-    chance = 1 / len(languages)
-    return Model(languages, folded.table, bias, temperature, chance + (floor - chance) / 2)
+    return replace(folded, temperature=grid[int(np.argmin(loss))])
 
 
 def crc_fold(key: Column) -> Column:
@@ -163,23 +162,43 @@ def crc_fold(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
+def _pool(docs: DataFrame) -> DataFrame:
+    """Labelled rows outside fold 2: all that the classifier may learn from."""
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return labelled.where((crc_fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
+_TOP = 1 << 30
+
+
+def _place() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(_TOP))
+
+
+def _cuts(pool: DataFrame, rows: int) -> tuple[DataFrame, float]:
+    """lang and cut: rows whose place is below it may be in the sample, all others calibrate; and the share of rows of any language.
+
+    A fifth is left to calibrate, of each language that has more rows than LANGUAGE_ROWS.
+    """
+    sizes = {r["lang"]: r["count"] for r in pool.groupBy("lang").count().collect()}
+    share = min(0.8, 1.2 * rows / max(1, sum(sizes.values())))
+    cuts = [(lang, _TOP if n <= LANGUAGE_ROWS else int(max(share, min(0.8, 2 * LANGUAGE_ROWS / n)) * _TOP) + 1) for lang, n in sizes.items()]
+    return F.broadcast(pool.sparkSession.createDataFrame(cuts, "lang string, cut long")), share
+
+
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """A model of docs' labelled rows outside fold 2.
+    """A model of docs' labelled rows outside fold 2, not calibrated yet.
 
     The sample is the `rows` rows first by a hash of doc_id, with the LANGUAGE_ROWS rows of each language first by it, and of each a
     piece of `chars` characters at a hashed offset: bounded, and the same on every run. Predictions never see lang, source or doc_id.
     """
-    order, top = F.xxhash64("doc_id"), 1 << 30
-    place = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.length("text") - chars + 1, F.lit(1)))
-    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    pool = labelled.where((crc_fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    order = F.xxhash64("doc_id")
+    offset = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.length("text") - chars + 1, F.lit(1)))
+    pool = _pool(docs)
     # a hash picks about the rows wanted, so what is sorted and what tasks send to the driver doesn't grow with their number
-    sizes = {r["lang"]: r["count"] for r in pool.groupBy("lang").count().collect()}
-    share = min(1.0, 1.2 * rows / max(1, sum(sizes.values())))
-    cuts = [(lang, int(max(share, min(1.0, 2 * LANGUAGE_ROWS / n)) * top) + 1) for lang, n in sizes.items()]
-    most = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long"))
-    picked = pool.join(most, "lang").where(F.pmod(order, F.lit(top)) < F.col("cut"))
-    pieces = picked.select("doc_id", "lang", F.expr("text").substr(place.cast("int") + 1, F.lit(chars)).alias("text"), order.alias("h"), (F.pmod(order, F.lit(top)) < F.lit(int(share * top) + 1)).alias("any"))
+    most, share = _cuts(pool, rows)
+    picked = pool.join(most, "lang").where(_place() < F.col("cut"))
+    pieces = picked.select("doc_id", "lang", F.expr("text").substr(offset.cast("int") + 1, F.lit(chars)).alias("text"), order.alias("h"), (_place() < F.lit(int(share * _TOP) + 1)).alias("any"))
     by = ("h", "doc_id", "lang", "text")
     first = F.row_number().over(Window.partitionBy("lang").orderBy(*by))
     common = pieces.where("any").orderBy(*by).limit(rows).select(*by)
@@ -190,12 +209,43 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) ->
     return train([t for t, _ in found], [lang for _, lang in found])
 
 
+def calibrate(scored: DataFrame, rows: int = SAMPLE_ROWS) -> float:
+    """The floor of scores, from all labelled rows outside fold 2 and outside the sample, scored over their whole texts.
+
+    scored: rows of doc_id, text, lang, lang_pred and score. Counts by score are all that comes to the driver. The floor is the least score at
+    and above which no more than RISK of the rows are wrong, or, if it is more, the highest below which no more than LOST of the
+    right ones lie; 0 where no row is right.
+    """
+    rest = scored.select("doc_id", "text", "lang", "lang_pred", "score")
+    pool = rest.where((crc_fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    most, _ = _cuts(pool, rows)
+    held = pool.join(most, "lang").where((_place() >= F.col("cut")) & (F.col("lang_pred") != UNKNOWN))
+    bins = held.groupBy(F.floor(F.col("score") * _BINS).cast("int").alias("b")).agg(F.count_if(F.col("lang") == F.col("lang_pred")).alias("right"), F.count("*").alias("n"))
+    right, wrong = np.zeros(_BINS + 1, np.int64), np.zeros(_BINS + 1, np.int64)
+    for r in bins.collect():
+        right[r["b"]], wrong[r["b"]] = r["right"], r["n"] - r["right"]
+    return floor_of(right, wrong)
+
+
+def floor_of(right: np.ndarray, wrong: np.ndarray) -> float:
+    """calibrate()'s floor from how many right and wrong rows have scores in each of equal bins."""
+    if not right.sum():
+        return 0.0
+    kept_right, kept_wrong = right[::-1].cumsum()[::-1], wrong[::-1].cumsum()[::-1]
+    rate = kept_wrong / np.maximum(1, kept_right + kept_wrong)
+    rate[kept_right == 0] = 1.0
+    safe = np.flatnonzero(rate <= RISK)
+    by_risk = int(safe[0]) if len(safe) else int(rate.argmin())
+    by_loss = int(np.flatnonzero(right.sum() - kept_right <= LOST * right.sum())[-1])
+    return max(by_risk, by_loss) / (len(right) - 1)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Each row's language: struct columns `own` (all columns of docs) and `found` (lang_pred, score, rejected).
+    """Each row's language: struct columns `own` (all columns of docs) and `found` (lang_pred, score).
 
-    A null text and one without a letter are `und` with score 0, and rejected. Rejected too is
-    whatever scores under the model's calibrated floor; its lang_pred stays the likeliest language. Whole texts are read. With
-    no labelled row to learn from, all are `und`. Repeated rows are rows of their own, and clashing names stay apart in `own`.
+    A null text and one without a letter are `und` with score 0. Whole texts are read, however long; of languages that tie the first by name
+    is taken. With no labelled row to learn from, all are `und`. Repeated rows are rows of their own, whether or not
+    they share a doc_id; a null doc_id counts as an empty one; clashing names stay apart in `own`; an empty table gives an empty one.
     """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col("text").cast("string").alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -212,19 +262,33 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 score = np.where(letters, p.max(axis=1), 0.0)
             else:
                 best, score = np.zeros(len(texts), int), np.zeros(len(texts))
-            off = (score < m.floor) | (best == len(m.languages))
-            found = pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(off)], ["lang_pred", "score", "rejected"])
+            found = pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["own", "found"])
 
-    return own.mapInArrow(run, T.StructType([own.schema["own"], T.StructField("found", T._parse_datatype_string("struct<lang_pred:string,score:double,rejected:boolean>"))]))
+    return own.mapInArrow(run, T.StructType([own.schema["own"], T.StructField("found", T._parse_datatype_string("struct<lang_pred:string,score:double>"))]))
+
+
+def judged(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """identify()'s columns and `rejected`: true for `und` and for scores under the calibrated floor; lang_pred stays the likeliest language.
+
+    Without a floor of the model's own, all rows are scored into a table first, which both the calibration and the caller read: texts
+    are scored once. docs then needs doc_id and lang besides text.
+    """
+    model = model or fit(docs)
+    found = identify(docs, model)
+    floor = model.floor
+    if floor is None:
+        found = written(found, "scored")
+        floor = calibrate(found.select("own.doc_id", "own.text", "own.lang", "found.lang_pred", "found.score"))
+    return found.withColumn("rejected", (F.col("found.lang_pred") == UNKNOWN) | (F.col("found.score") < floor))
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of docs, with docs' own columns, whose language the model accepts."""
-    return identify(docs, model or fit(docs)).where(~F.col("found.rejected")).select("own.*")
+    return judged(docs, model).where(~F.col("rejected")).select("own.*")
 
 
 def report(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of each row."""
-    found = identify(docs.select("doc_id", "text"), model or fit(docs))
-    return found.select("own.doc_id", (crc_fold(F.col("own.doc_id")) == 2).alias("held_out"), "found.lang_pred", "found.score", "found.rejected")
+    found = judged(docs.select("doc_id", "text", "lang"), model)
+    return found.select("own.doc_id", (crc_fold(F.col("own.doc_id")) == 2).alias("held_out"), "found.lang_pred", "found.score", "rejected")
