@@ -101,6 +101,34 @@ def measures(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeated)
 
 
+def _mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % (1 << 64)
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % (1 << 64)
+    return x ^ x >> 31
+
+
+def language_scores(text, model):
+    """The softmax over languages of the mean of a text's subwords' rows, one subword at a time; None without a word."""
+    buckets, total, n = len(model.table), [0.0] * len(model.languages), 0
+    for word in words((text or "").translate(LOWER)):
+        data = b" " + word.encode() + b" "
+        for size in (1, 2, 3, 4):
+            for p in range(len(data) - size + 1):
+                h = 0
+                for byte in data[p : p + size]:
+                    h = (h * 0x100000001B3 + byte + 1) % (1 << 64)
+                row = model.table[_mixed((h + (size << 56)) % (1 << 64)) % buckets]
+                total = [a + float(b) for a, b in zip(total, row, strict=True)]
+                n += 1
+    if not n:
+        return None
+    z = [(a / n + b) / model.temperature for a, b in zip(total, model.bias, strict=True)]
+    e = [2.718281828459045 ** (x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
 def jump(key, shards):
     """The published algorithm on a 64-bit key."""
     b, j = -1, 0

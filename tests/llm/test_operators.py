@@ -73,12 +73,38 @@ def test_contamination(spark, docs, texts, passage, none, table, pairs):
     assert contamination.report(none, items).count() == 0
     assert got(contamination.report(docs, items.where("false")), "doc_id", "n_hit") == [(k, 0) for k in range(len(texts))]
     blocks = contamination.annotate(docs.select("doc_id", "text"), items, block_bytes=400)
-    assert len(contamination._blocks(items, 13, 400)) > 1
+    assert len(list(contamination._blocks(items, 13, 400))) > 1
     assert sorted((r.own.doc_id, len(r.found["items"])) for r in blocks.collect()) == [(r[0], r[3]) for r in want]
     real = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert got(QUERIES["op1_suffix_arrays"](spark, SF), *CONTAMINATION) == sorted(brute.contamination(pairs, real))
 
 
+def test_a_large_benchmark_is_taken_a_block_at_a_time(spark, docs, texts, passage, monkeypatch):
+    """The pass with a block is written before the next block is sent."""
+    bench = [(k, " ".join(passage.split()[3 * k : 3 * k + 20])) for k in range(30)] + [(99, passage * 5)]
+    items = spark.createDataFrame(bench + bench, "item_id int, text string")
+    events = []
+    made, kept = contamination.block_of, contamination.written
+    monkeypatch.setattr(contamination, "block_of", lambda *a: (b := made(*a)) and events.append("block") or b)
+    monkeypatch.setattr(contamination, "written", lambda *a: events.append("pass") or kept(*a))
+    found = contamination.annotate(docs.select("doc_id", "text"), items, block_bytes=1000)
+    assert events.count("block") > 3 and events == ["block"] + ["block", "pass"] * (events.count("block") - 1)
+    want = brute.contamination(enumerate(texts), bench)
+    assert sorted((r.own.doc_id, r.found["n_words"], sum(s.end - s.start for s in r.found["spans"]), len(r.found["items"])) for r in found.collect()) == sorted(w[:4] for w in want)
+
+
+def test_suffix_arrays_against_sorting():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, kinds in ((0, 2), (1, 2), (50, 2), (400, 3), (400, 300)):
+        v = np.append(rng.integers(0, kinds + 1, n), 0)
+        tails = [(v[k : k + 1 + int(np.flatnonzero(v[k:] == 0)[0])].tolist(), k) for k in np.flatnonzero(v)]
+        assert contamination.suffix_array(v, n + 1).tolist() == [k for _, k in sorted(tails)]
+        capped = contamination.suffix_array(v, 4)
+        assert [v[k : k + 4].tolist() for k in capped if 0 not in v[k : k + 4]] == sorted(t[:4] for t, _ in tails if len(t) > 4)
+
+
 def test_longest_match_is_located(spark, passage):
     words = passage.split()
     docs = spark.createDataFrame([(1, "x y " + " ".join(words[10:50]) + " z")], "doc_id long, text string")
@@ -137,6 +163,29 @@ def test_rare_language_is_learned_from_pieces_anywhere(spark, monkeypatch):
     assert sum(any(text.startswith(t) for _, text, _ in rows) for t in seen["texts"]) < len(seen["texts"]) / 2
 
 
+def test_language_scores_against_a_plain_version(table, pairs):
+    model = langid.fit(table)
+    out = {r.doc_id: r for r in langid.report(table, model).collect()}
+    for d, t in pairs[::7]:
+        p = brute.language_scores(t, model)
+        assert out[d].score == pytest.approx(max(p), abs=1e-6) and out[d].lang_pred == model.languages[p.index(max(p))]
+
+
+def test_the_floor_is_calibrated(spark):
+    """It is the least score with few wrong rows above it, and never costs more right rows than allowed."""
+    import numpy as np
+
+    right, wrong = np.zeros(101, int), np.zeros(101, int)
+    right[90], right[50], wrong[40], wrong[50] = 9_000, 1_000, 200, 5
+    assert langid.floor_of(right, wrong) == 0.50
+    right[30] = 4  # under LOST of the right rows
+    assert langid.floor_of(right, wrong) == 0.50
+    wrong[:] = 0
+    assert langid.floor_of(right, wrong) == 0.50 and langid.floor_of(0 * right, wrong) == 0.0
+    right[20] = 100
+    assert langid.floor_of(right, wrong) == 0.20
+
+
 def test_predictions_see_only_the_text(spark, table):
     model = langid.fit(table)
     other = table.selectExpr("doc_id + 1000 AS doc_id", "text", "'zz' AS lang", "null AS source")
@@ -303,8 +352,60 @@ def test_weak_supervision_adds_spans_and_keeps_base(spark):
     assert [r.text for r in red.orderBy("doc_id").collect()] == ["a <ip>, b <email>.", None, "none"]
 
 
+def _planted(rng, many):
+    """Texts that each hold one loose value, and whether it is personal."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    area = lambda: rng.choice("23456789") + digits(2)
+    name = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9)))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    real = [
+        lambda: f"call {area()}-{area()}-{digits(4)}", lambda: f"tel ({area()}) {area()}-{digits(4)}", lambda: f"contact {name()} [at] {name()} [dot] com",
+        lambda: f"ssn {rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", lambda: f'token = "{hexes(40)}"', lambda: f"api_key: AKIA{hexes(16).upper()}",
+        lambda: f'password = "{hexes(14)}"',
+    ]
+    other = [
+        lambda: f"part {area()}-{area()}-{digits(4)}", lambda: f"order 9{digits(2)}-{digits(2)}-{digits(4)}", lambda: f"meet {name()} at {name()} dot {name()}qzx",
+        lambda: f"commit {hexes(40)}", lambda: f"md5 {hexes(32)}", lambda: f"invoice 1{digits(2)} {digits(3)} {digits(4)} units", lambda: f"build release_candidate-{digits(2)}", lambda: f"version {digits(14)}",
+    ]
+    out = []
+    for k in range(many):
+        good = k % 2 == 0
+        value = rng.choice(real if good else other)()
+        out.append((k, f"{name()} {name()}, {value} {name()} {name()}.", good))
+    return out
+
+
+def test_added_spans_on_held_out_plants(spark):
+    """The classifier, fitted without labels on one half, on values of the other half that it never saw."""
+    rng = random.Random(8)
+    seen, held = _planted(rng, 1500), _planted(rng, 600)
+    model = pii.fit(spark.createDataFrame([r[:2] for r in seen], "doc_id long, text string"))
+    out = pii.annotate(spark.createDataFrame([r[:2] for r in held], "doc_id long, text string"), model).collect()
+    good = {r[0]: r[2] for r in held}
+    flagged = {r.own.doc_id for r in out if r.spans}
+    right = sum(good[d] for d in flagged)
+    assert right >= 0.95 * len(flagged) and right >= 0.95 * sum(good.values()), (right, len(flagged), sum(good.values()))
+
+
+def test_labelers_reliabilities_are_found():
+    """Votes drawn from known tables: EM finds each labeler's rates and the share of personal data."""
+    rng = random.Random(6)
+    rates, counts, truth = [(0.9, 0.8), (0.6, 0.3), (0.7, 0.7), (0.3, 0.6), (0.5, 0.5)], {}, {}
+    for _ in range(20_000):
+        y = rng.random() < 0.4
+        vote = tuple((1 if rng.random() < hit else 0) if y else (-1 if rng.random() < deny else 0) for hit, deny in rates)
+        c = pii.code("phone", vote)
+        counts[c] = counts.get(c, 0) + 1
+        truth.setdefault(c, []).append(y)
+    belief, found = pii.aggregate(counts)
+    for (hit, deny), name in zip(rates, pii.LABELERS, strict=True):
+        assert found["phone", name] == pytest.approx((hit, deny), abs=0.05)
+    assert sum(belief[c] * n for c, n in counts.items()) == pytest.approx(8_000, rel=0.05)
+    assert all(pii.decode(pii.code(k, v)) == (k, v) for k in pii.KINDS for v in ((1, 0, -1, 1, 0), (-1, -1, -1, -1, -1)))
+
+
 def test_no_text_takes_long(spark):
-    for t in ("a" * 200_000 + "@", "1" * 100_000, "1." * 100_000, "+1" + "-" * 100_000, "@" * 100_000, "a.b@" * 30_000):
+    for t in ("a" * 200_000 + "@", "1" * 100_000, "1." * 100_000, "+1" + "-" * 100_000, "@" * 100_000, "a.b@" * 30_000, "555-555-5555 " * 20_000, "a1-" * 100_000):
         pii.candidates(t)
 
 
