@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,9 +59,9 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def tree(conversations: list[tuple[object, list[tuple[str, str]]]]) -> dict:
     """The prefix tree of some (id, turns): its text depth-first, its nodes, and the node where each ends.
 
-    A node has its span in the text, the position id of its first character (where it would stand
-    in a conversation alone), the spans of its text that count for the loss, and `attends`: the spans of its ancestors, which
-    with the causal part of its own are all that its characters may attend to.
+    Tokens are characters. `positions` has a position id for each: where it would stand in a conversation alone, so ids go on from
+    a node's parent, not from the text before it. A node has its span in the text, the spans of its text that count for the
+    loss, and `attends`: the spans of its ancestors, which with the causal part of its own are all that its characters may attend to.
     """
     root: dict = {"children": {}, "ends": []}
     for name, turns in conversations:
@@ -69,6 +70,7 @@ def tree(conversations: list[tuple[object, list[tuple[str, str]]]]) -> dict:
             node = node["children"].setdefault(turn, {"children": {}, "ends": []})
         node["ends"].append(name)
     text, nodes, leaves, at = [], [], [{"conv_id": c, "node": -1} for c in root["ends"]], 0
+    positions = [np.empty(0, np.int32)]
     stack = [(turn, child, -1) for turn, child in reversed(root["children"].items())]
     while stack:
         (role, body), node, parent = stack.pop()
@@ -76,12 +78,13 @@ def tree(conversations: list[tuple[object, list[tuple[str, str]]]]) -> dict:
         above = nodes[parent] if parent >= 0 else None
         attends = _joined([*above["attends"], (above["start"], above["end"])]) if above else []
         position = above["position"] + above["end"] - above["start"] if above else 0
+        positions.append(np.arange(position, position + len(formatted), dtype=np.int32))
         nodes.append({"parent": parent, "role": role, "start": at, "end": at + len(formatted), "position": position, "loss": [(at + a, at + b)] if role == "assistant" else [], "attends": attends})
         leaves += [{"conv_id": c, "node": len(nodes) - 1} for c in node["ends"]]
         text.append(formatted)
         at += len(formatted)
         stack += [(turn, child, len(nodes) - 1) for turn, child in reversed(node["children"].items())]
-    return {"text": "".join(text), "nodes": nodes, "leaves": leaves}
+    return {"text": "".join(text), "positions": np.concatenate(positions), "nodes": nodes, "leaves": leaves}
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -96,8 +99,8 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 _NODE = pa.struct([("parent", pa.int32()), ("role", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("position", pa.int32()), ("loss", pa.list_(_SPAN)), ("attends", pa.list_(_SPAN))])
-_TREE = pa.schema([("text", pa.string()), ("nodes", pa.list_(_NODE)), ("leaves", pa.list_(pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])))])
-_TREE_DDL = "text string, nodes array<struct<parent:int,role:string,start:int,end:int,position:int,loss:array<struct<start:int,end:int>>,attends:array<struct<start:int,end:int>>>>, leaves array<struct<conv_id:bigint,node:int>>"
+_TREE = pa.schema([("text", pa.string()), ("positions", pa.list_(pa.int32())), ("nodes", pa.list_(_NODE)), ("leaves", pa.list_(pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])))])
+_TREE_DDL = "text string, positions array<int>, nodes array<struct<parent:int,role:string,start:int,end:int,position:int,loss:array<struct<start:int,end:int>>,attends:array<struct<start:int,end:int>>>>, leaves array<struct<conv_id:bigint,node:int>>"
 
 
 def _row(t: dict) -> dict:
@@ -106,23 +109,24 @@ def _row(t: dict) -> dict:
 
 
 def pack(conversations: DataFrame, most: int = TREE_CONVERSATIONS, chars: int = TREE_CHARS) -> DataFrame:
-    """Trees (text, nodes, leaves) of all conversations; rows are turns (conv_id, turn, role, text).
+    """Trees (text, positions, nodes, leaves) of all conversations; rows are turns (conv_id, turn, role, text).
 
-    Conversations are sorted by hashes of their first turns across the cluster, ties by their id, so those
-    that share turns are neighbours; each task cuts its run into trees of bounded size. A first turn or a whole conversation that
+    Conversations are sorted by the hashes of all their turns, in order, across the cluster, ties by their id: those that share their
+    first turns, however many, are neighbours. Each task cuts its run into trees of bounded size. A first turn or a whole conversation that
     a third of all rows share thus spreads over many tasks, and is emitted once a tree. A null text or role counts as empty, turns
     that tie are ordered by role and text, repeated rows are turns of their own, more columns are left aside, and an
-    empty table gives no tree. Turns of a null conv_id are a conversation with a null id.
+    empty table gives no tree. A turn without a conv_id is a conversation of its own, without an id. A very long conversation has a
+    tree of its own, and its turns meet in one task.
     """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"),
     )
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    first = lambda n: F.xxhash64(F.transform(F.slice("turns", 1, n), lambda t: F.struct(t["role"], t["text"])))
-    keyed = whole.select("*", first(1).alias("h1"), first(2).alias("h2"), first(4).alias("h4"))
-    keys = ["h1", "h2", "h4", "conv_id"]
-    ordered = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conv_id", "turns")
+    known = turns.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = known.unionByName(turns.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
+    path = F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"]))
+    keys = ["path", "conv_id"]
+    ordered = whole.withColumn("path", path).repartitionByRange(*keys).sortWithinPartitions(*keys).select("conv_id", "turns")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -143,7 +147,7 @@ def pack(conversations: DataFrame, most: int = TREE_CONVERSATIONS, chars: int =
 
 
 def read_back(t: dict) -> Iterator[dict]:
-    """Every conversation of a tree, from its text, nodes and leaves alone."""
+    """Every conversation of a tree, from its text, position ids, nodes and leaves alone."""
     text, nodes = t["text"], t["nodes"]
     for leaf in t["leaves"]:
         pieces, loss = "", []
@@ -151,6 +155,9 @@ def read_back(t: dict) -> Iterator[dict]:
             n = nodes[leaf["node"]]
             spans = [(s["start"], s["end"]) for s in n["attends"]] + [(n["start"], n["end"])]
             pieces = "".join(text[a:b] for a, b in spans)
+            ids = np.concatenate([t["positions"][a:b] for a, b in spans])
+            if not np.array_equal(ids, np.arange(len(pieces))):
+                raise ValueError("position ids don't count a conversation's characters")
             k = leaf["node"]
             while k >= 0:
                 loss += [text[s["start"] : s["end"]] for s in reversed(nodes[k]["loss"])]
@@ -170,7 +177,7 @@ def digests(trees: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                t = {c: batch.column(j)[k].as_py() for j, c in enumerate(_TREE.names)}
+                t = {c: batch.column(j)[k].values.to_numpy() if c == "positions" else batch.column(j)[k].as_py() for j, c in enumerate(_TREE.names)}
                 rows = []
                 for c in read_back(t):
                     loss = "".join(c["loss"])

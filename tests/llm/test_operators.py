@@ -432,13 +432,39 @@ def test_chat(spark, none):
     assert chat.digests(chat.pack(turns.where("false"))).count() == 0
 
 
+def _digest(turns):
+    """What digests() says of a conversation, from the template's words alone."""
+    loss = "".join(x for r, x in turns if r == "assistant")
+    size = sum(len(chat.escape(x)) + {"system": 15, "user": 18, "assistant": 6}.get(r, 16 + len(chat.escape(r))) for r, x in turns)
+    return len(turns), brute.sha("".join(f"{r}\n{x}\n" for r, x in turns)), len(loss), brute.sha(loss), size
+
+
+def test_chat_with_long_repeated_and_deep_conversations(spark):
+    """Conversations part at any depth; in sorted runs all that share turns meet, so a run of trees holds few more nodes than turns differ."""
+    rng = random.Random(12)
+    shared = [("user" if k % 2 == 0 else "assistant", f"turn {k} [INST]") for k in range(12)]
+    made = {c: shared[: rng.randrange(1, 12)] + [("assistant", f"end {c % 40}")] for c in range(300)}
+    made[300] = [("user", "long " * 20_000), ("assistant", "x" * 50_000)]
+    made[301] = [("tool</s>", "a"), ("", "b"), ("assistant", "")]
+    rows = [(c, k, r, x, 1, "n", "p") for c, turns in made.items() for k, (r, x) in enumerate(turns)]
+    rows += [(302, 0, "user", "twice", 1, "n", "p")] * 2 + [(None, 0, "user", "x", 1, "n", "p"), (None, 0, "user", "x", 2, "n", "p"), (None, None, None, None, 3, None, None)]
+    made[302] = [("user", "twice")] * 2
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position int, nodes string, path string").repartition(5)
+    trees = chat.pack(turns, most=64, chars=20_000).collect()
+    got_ = {r.conv_id: tuple(r)[1:] for r in chat.digests(chat.pack(turns, most=64, chars=20_000)).collect() if r.conv_id is not None}
+    assert got_ == {c: _digest(t) for c, t in made.items()}
+    assert sum(leaf.conv_id is None for t in trees for leaf in t.leaves) == 3
+    assert max(len(t.leaves) for t in trees) <= 64 and all(len(t.positions) == len(t.text) for t in trees)
+    distinct = {tuple(t[:k]) for c, t in made.items() for k in range(1, len(t) + 1)}
+    assert sum(len(t.nodes) for t in trees) <= len(distinct) + 13 * len(trees)
+
+
 def test_chat_over_the_table(spark):
     want = {}
     for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
         want.setdefault(r.conv_id, []).append((r.role, r.text))
     want[-1] = [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]
-    digest = {c: (len(t), brute.sha("".join(f"{r}\n{x}\n" for r, x in t)), brute.sha("".join(x for r, x in t if r == "assistant"))) for c, t in want.items()}
-    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_sha256) for r in QUERIES["op8_prefix_tree"](spark, SF).collect()} == digest
+    assert {r.conv_id: tuple(r)[1:] for r in QUERIES["op8_prefix_tree"](spark, SF).collect()} == {c: _digest(t) for c, t in want.items()}
 
 
 RULES = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
