@@ -1,16 +1,17 @@
 """Long verbatim repeats: what the two substring operators share.
 
-Whole texts are dealt to chunks of some megabytes by a hash of doc_id, once. What chunks tell one another goes
-through buckets, as packed arrays of hashes:
+Whole texts are dealt to chunks of some megabytes by a hash of doc_id and text, once, a chunk a task. What chunks tell one another goes
+through buckets, a bucket a task, as packed arrays of hashes:
 
 1. `anchors`  - each chunk sends the keys of its anchors, each distinct key once, to the key's bucket;
 2. `met`      - a bucket sorts the keys of all chunks and answers which occur at two places;
-3. `extend`   - a chunk hashes the windows around its met anchors, and sends each distinct one to its bucket;
-4. `repeated` - a bucket answers which windows occur at two places;
-5. `cover`    - a chunk takes the union of its repeated windows.
+3. `extend`   - a chunk sends what stands around its met anchors, once each;
+4. `judge`    - a bucket answers which windows occur at two places;
+5. `finish`   - a chunk takes the union of its repeated windows.
 
 A passage that a third of all texts share is one key a chunk, so no bucket or task gathers a hot group,
-and no pair of places is ever formed. Buckets and chunks are as many as the input's size asks for.
+and no pair of places is ever formed. Buckets and chunks are as many as the input's size asks for. Only rows that are alike in both
+doc_id and text can't be told apart, and share a chunk.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ from skerry.llm.textkit import U
 
 #: Bytes of text in a chunk, and words whose keys a bucket gets.
 CHUNK_BYTES, BUCKET_WORDS = 6 << 20, 3 << 20
-_SEND = "bucket long, chunk long, n long, keys binary"
-_SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
-_ANSWER = pa.schema([("chunk", pa.int64()), ("keys", pa.binary())])
+_SEND = "bucket int, chunk int, n long, keys binary"
+_SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("n", pa.int64()), ("keys", pa.binary())])
+_ANSWER = pa.schema([("chunk", pa.int32()), ("keys", pa.binary())])
+
+#: Keys that more chunks hold than this, or that one chunk holds more often than this, are hot: what stands around them is not gathered.
+HOT_CHUNKS, HOT_PLACES = 64, 256
 
 #: Finds anchors: words -> (keys as rows of uint32 columns, most significant first; positions; flags).
 Anchors = Callable[[tk.Words], tuple[list[np.ndarray], np.ndarray, np.ndarray]]
@@ -67,6 +71,13 @@ def _groups(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def _dealt(columns: list[np.ndarray], buckets: int) -> list[tuple[int, int, int]]:
+    """bucket, begin and end of each run of sorted rows that belong to one bucket."""
+    bucket = (columns[0].astype(U) * U(buckets) >> U(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    return [(int(bucket[a]), int(a), int(b)) for a, b in zip(cuts, [*cuts[1:], len(bucket)][: len(cuts)], strict=True)]
+
+
 def _sent(chunk: int, columns: list[np.ndarray], flags: np.ndarray, buckets: int) -> pa.Table:
     """A row for each bucket with the distinct keys that belong there; the lowest two bits of a key's last column carry flags."""
     order, begin = _groups(columns)
@@ -75,17 +86,15 @@ def _sent(chunk: int, columns: list[np.ndarray], flags: np.ndarray, buckets: int
     flag = np.bitwise_or.reduceat(flags[order], begin)
     keys = [c[order[begin]] for c in columns]
     keys[-1] = (keys[-1] & ~np.uint32(3)) | flag.astype(np.uint32)
-    bucket = (keys[0].astype(U) * U(buckets) >> U(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    ends = [*cuts[1:], len(bucket)]
-    rows = [(int(bucket[a]), chunk, int(b - a), _packed([c[a:b] for c in keys])) for a, b in zip(cuts, ends, strict=True)]
+    rows = [(bucket, chunk, b - a, _packed([c[a:b] for c in keys])) for bucket, a, b in _dealt(keys, buckets)]
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SENT.types, strict=True)], schema=_SENT)
 
 
-def _twice(columns: int, need: int) -> Callable[[tuple, pa.Table], pa.Table]:
+def _twice(columns: int, need: int, hot: bool = False) -> Callable[[tuple, pa.Table], pa.Table]:
     """A bucket's answers: for each chunk, its keys that occur at two places and have all flags of `need` set somewhere.
 
-    Flag 1: at two places in the chunk that sent it; flag 2: as the operator says.
+    Flag 1: at two places in the chunk that sent it; flag 2: as the operator says. hot: flag 2 says that a chunk holds the key too
+    often, and answers have flag 1 where the key is hot.
     """
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
@@ -100,13 +109,15 @@ def _twice(columns: int, need: int) -> Callable[[tuple, pa.Table], pa.Table]:
         hit = ((size > 1) | (any_of & 1 > 0)) & (any_of & need == need)
         met = np.zeros(len(order), bool)
         met[order] = np.repeat(hit, size)
+        if hot:
+            whole[-1][order] |= np.repeat((size > HOT_CHUNKS) | (any_of & 2 > 0), size).astype(np.uint32)
         at, out = 0, []
         for chunk, n in zip(chunks, ns, strict=True):
             found = met[at : at + n]
             if found.any():
                 out.append((chunk, _packed([c[at : at + n][found] for c in whole])))
             at += n
-        return pa.Table.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([k for _, k in out], pa.binary())], schema=_ANSWER)
+        return pa.Table.from_arrays([pa.array([c for c, _ in out], pa.int32()), pa.array([k for _, k in out], pa.binary())], schema=_ANSWER)
 
     return answer
 
@@ -154,22 +165,22 @@ def _near(positions: np.ndarray, reach: int, n: int) -> np.ndarray:
     return total[reach + 1 : n + reach + 1] - total[:n] > 0
 
 
-Cover = Callable[[pa.Table, tk.Words, np.ndarray], pa.Table]
+#: Step 3 to 5 as functions of (key, tables), made for a number of buckets, and the columns of the tables that steps 3 and 4 send.
+Steps = Callable[[int], tuple[Callable, Callable, Callable, str, str]]
 
 
-def find(docs: DataFrame, width: int, anchors: Anchors, columns: int, need: int, reach: int, within: bool, cover: Cover, schema: T.StructType) -> DataFrame:
-    """cover() of each chunk's rows (doc_id, text), its words, and which words lie in a repeated window of `width` words.
+def exchange(docs: DataFrame, anchors: Anchors, columns: int, need: int, hot: bool, steps: Steps, schema: T.StructType) -> DataFrame:
+    """What `finish` makes of each chunk's rows (doc_id, text) and the answers it got.
 
-    `anchors` must give every repeated window an anchor that starts at most `reach` words after the window, with equal
-    keys of `columns` columns wherever the window occurs. within: a window that repeats in one text only counts too.
+    `anchors` must give every repeated window an anchor near its start, with equal keys of `columns` columns wherever the window occurs.
     """
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = max(1, -(-size // CHUNK_BYTES)), max(1, size // (5 * BUCKET_WORDS))
-    spark = docs.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts, bucket_parts = max(least, chunks), max(least, 2 * buckets)
-    dealt = given.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).repartition(parts, "chunk")
+    extend, judge, finish, send_ddl, answer_ddl = steps(buckets)
+    # ids are small numbers, so each chunk and each bucket is a partition of its own
+    place = lambda df, n, c: df.repartitionById(n, F.col(c).cast("int"))
+    dealt = place(given.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")), chunks, "chunk")
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
         keys, positions, flags = anchors(tk.words(table["text"]))
@@ -178,41 +189,66 @@ def find(docs: DataFrame, width: int, anchors: Anchors, columns: int, need: int,
         twice = np.zeros(len(order), np.uint8)
         if len(order):
             twice[order] = np.repeat(size > 1, size)
+            if hot:
+                flags[order] = np.repeat(size > HOT_PLACES, size)
         return _sent(key[0].as_py(), keys, flags * 2 + twice, buckets)
 
-    def extend(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not right.num_rows or not left.num_rows:
-            return _SENT.empty_table()
-        w = tk.words(left["text"])
-        keys, positions, _ = anchors(w)
-        met = positions[_among(keys, _answers(right, columns))]
-        near, whole = _window_keys(w, width)
-        starts = np.flatnonzero(whole & _near(met, reach, len(whole)))
-        keys = [k[starts] for k in near]
-        masked = [*keys[:-1], keys[-1] & ~np.uint32(3)]
-        order, begin = _groups(masked)
-        if not len(order):
-            return _SENT.empty_table()
+    by_chunk = dealt.groupBy("chunk")
+    met = place(by_chunk.applyInArrow(send, _SEND), buckets, "bucket").groupBy("bucket").applyInArrow(_twice(columns, need, hot), "chunk int, keys binary")
+    sent = by_chunk.cogroup(place(met, chunks, "chunk").groupBy("chunk")).applyInArrow(extend, send_ddl)
+    repeated = place(sent, buckets, "bucket").groupBy("bucket").applyInArrow(judge, answer_ddl)
+    return by_chunk.cogroup(place(repeated, chunks, "chunk").groupBy("chunk")).applyInArrow(finish, schema)
+
+
+def around(w: tk.Words, met: np.ndarray, width: int, reach: int, within: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of the windows that start at most `reach` words before one of the met positions, and flag 1 where they stand at two places here."""
+    near, whole = _window_keys(w, width)
+    starts = np.flatnonzero(whole & _near(met, reach, len(whole)))
+    keys = [k[starts] for k in near]
+    masked = [*keys[:-1], keys[-1] & ~np.uint32(3)]
+    order, begin = _groups(masked)
+    flags = np.zeros(len(order), np.uint8)
+    if len(order):
         if within:
             twice = np.diff(begin, append=len(order)) > 1
         else:
             row = w.row_of()[starts][order]
             twice = np.maximum.reduceat(row, begin) > np.minimum.reduceat(row, begin)
-        flags = np.zeros(len(order), np.uint8)
         flags[order] = np.repeat(twice, np.diff(begin, append=len(order)))
-        return _sent(key[0].as_py(), masked, flags, buckets)
+    return masked, flags
 
-    def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        w = tk.words(left["text"])
-        inside = np.zeros(len(w.hash), bool)
-        if right.num_rows and left.num_rows and len(w.hash) >= width:
-            keys, whole = _window_keys(w, width)
-            starts = np.flatnonzero(_among(keys, _answers(right, 3)) & whole)
-            inside = tk.covered(starts, width, len(w.hash))
-        return cover(left, w, inside)
 
-    by_chunk = dealt.groupBy("chunk")
-    met = by_chunk.applyInArrow(send, _SEND).repartition(bucket_parts, "bucket").groupBy("bucket").applyInArrow(_twice(columns, need), "chunk long, keys binary")
-    sent = by_chunk.cogroup(met.groupBy("chunk")).applyInArrow(extend, _SEND)
-    repeated = sent.repartition(bucket_parts, "bucket").groupBy("bucket").applyInArrow(_twice(3, 0), "chunk long, keys binary")
-    return by_chunk.cogroup(repeated.groupBy("chunk")).applyInArrow(finish, schema)
+def starts_of(w: tk.Words, found: list[np.ndarray], width: int) -> np.ndarray:
+    """Where the windows begin whose keys are among `found`."""
+    keys, whole = _window_keys(w, width)
+    return np.flatnonzero(_among(keys, found) & whole)
+
+
+Cover = Callable[[pa.Table, tk.Words, np.ndarray], pa.Table]
+
+
+def find(docs: DataFrame, width: int, anchors: Anchors, columns: int, need: int, reach: int, within: bool, cover: Cover, schema: T.StructType) -> DataFrame:
+    """cover() of each chunk's rows (doc_id, text), its words, and which words lie in a repeated window of `width` words.
+
+    An anchor of a repeated window must start at most `reach` words after the window. Hits are extended to all windows around them, which
+    are compared by hash. within: a window that repeats in one text only counts too.
+    """
+
+    def steps(buckets: int) -> tuple:
+        def extend(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            if not right.num_rows or not left.num_rows:
+                return _SENT.empty_table()
+            w = tk.words(left["text"])
+            keys, positions, _ = anchors(w)
+            return _sent(key[0].as_py(), *around(w, positions[_among(keys, _answers(right, columns))], width, reach, within), buckets)
+
+        def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            w = tk.words(left["text"])
+            inside = np.zeros(len(w.hash), bool)
+            if right.num_rows and left.num_rows and len(w.hash) >= width:
+                inside = tk.covered(starts_of(w, _answers(right, 3), width), width, len(w.hash))
+            return cover(left, w, inside)
+
+        return extend, _twice(3, 0), finish, _SEND, "chunk int, keys binary"
+
+    return exchange(docs, anchors, columns, need, False, steps, schema)

@@ -503,6 +503,41 @@ def test_substrings(spark, docs, texts, none, table, pairs, monkeypatch, size):
     assert got(suffixes.spans(table), "doc_id", "start", "end", "n_words") == sorted(brute.repeated_spans(pairs, 50))
 
 
+def test_suffix_matches_grow_to_both_sides(spark, docs, texts, table, pairs, monkeypatch):
+    """The neighbour that shares most to the right shares nothing to the left: another one does. Hot passages give the same by another way."""
+    rng = random.Random(31)
+    w = [f"m{k}" for k in range(60)]
+    other = lambda n: [f"{rng.choice('pqrst')}{rng.randrange(10 ** 6)}" for _ in range(n)]
+    made = [" ".join(other(5) + w[a:b] + other(7)) for a, b in [(0, 60), (0, 51), (0, 50), (9, 60), (10, 60), (11, 60), (5, 55), (0, 49), (20, 60), (3, 40)] * 2 for _ in range(2)]
+    made = [t for k, t in enumerate(made) if k % 3 or k > 30]
+    made.append(" ".join(w + other(3) + w))  # twice in one text
+    rows = list(enumerate(made))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (64, 0):
+        monkeypatch.setattr(repeats, "HOT_CHUNKS", hot)
+        for size in (300, 1 << 20):
+            monkeypatch.setattr(repeats, "CHUNK_BYTES", size)
+            monkeypatch.setattr(repeats, "BUCKET_WORDS", size // 10)
+            assert got(suffixes.spans(frame), "doc_id", "start", "end", "n_words") == sorted(brute.repeated_spans(rows, 50))
+    alone = spark.createDataFrame([(None, made[-1]), (None, "a"), (None, None)], "doc_id long, text string")
+    assert suffixes.spans(alone).count() == 0 and suffixes.spans(alone, within=True).count() == 2
+
+
+def test_buckets_are_filled_evenly(table):
+    """The fullest of many buckets holds less than one and a half times the mean, of suffixes as of blocks."""
+    import numpy as np
+
+    from skerry.llm import textkit
+
+    w = textkit.words(pa.array([r.text for r in table.select("text").collect()] * 3))
+    w.hash[:] = textkit.mix(w.hash + np.arange(len(w.hash), dtype=np.uint64))  # as if all words differed
+    for anchors in (suffixes._anchors(50, 8, 32), substrings._anchors(18)):
+        keys, *_ = anchors(w)
+        for buckets in (8, 32):
+            bucket = (keys[0].astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(int)
+            assert np.bincount(bucket, minlength=buckets).max() <= 1.5 * len(bucket) / buckets
+
+
 def test_kept_text(spark):
     one = " ".join(f"w{k}" for k in range(40))
     out = substrings.removed(spark.createDataFrame([(1, f"a  {one} b"), (2, one), (3, "c")], "doc_id long, text string"))
