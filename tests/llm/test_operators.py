@@ -315,6 +315,55 @@ def test_mixing(spark, docs, none, table):
     assert mixing.report(twice).count() == 2 * table.count() and mixing.mixed(twice).count() == sum(r.copies for r in mixing.report(twice).collect())
 
 
+def test_copies_are_counted_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 3)
+    rows = spark.createDataFrame([("a", 1), ("b", 3), ("c", 10)], "x string, n long")
+    assert got(mixing._counted_out(rows, "n", "at"), "x", "at") == [(x, k) for x, n in (("a", 1), ("b", 3), ("c", 10)) for k in range(n)]
+
+
+def test_tables_are_deleted_by_their_own_scope(spark):
+    """Scopes of two threads, and scopes within scopes, delete what was written in them and nothing else."""
+    import os
+    import threading
+
+    seen, paths = {}, {}
+
+    def work(name, first, second):
+        with store.scratch(spark):
+            first.wait()
+            paths[name] = store.written(spark.range(3), name).inputFiles()[0]
+            kept = store.written(spark.range(4), name, keep=True)
+            second.wait()
+            seen[name] = spark.read.parquet(paths[name]).count()
+        seen[name + " after"] = kept.count()
+
+    gates = threading.Barrier(2), threading.Barrier(2)
+    threads = [threading.Thread(target=work, args=(n, *gates)) for n in ("one", "two")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert seen["one after"] == seen["two after"] == 4 and not any(os.path.exists(p.removeprefix("file://")) for p in paths.values())
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        store.shared_dir(Session())
+
+
 def test_cube_in_small_blocks(spark, table):
     """Levels of blocks: what blocks leave open is balanced again, and both totals stay near."""
     out = mixing.choose(table.withColumn("source", table["lang"].substr(1, 0)), block_rows=16, share=0.7).collect()
