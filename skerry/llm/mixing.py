@@ -175,7 +175,7 @@ def _counted_out(rows: DataFrame, n: str, name: str) -> DataFrame:
     """Each row n times (n at least 1), with the count from 0 as `name`, without an array of length n."""
     run = rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / RUN).cast("long"))))
     left = F.least(F.lit(RUN).cast("long"), F.col(n) - F.col("run") * RUN)
-    return run.withColumn(name, F.col("run") * RUN + F.explode(F.sequence(F.lit(0).cast("long"), left - 1))).drop("run")
+    return run.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), left - 1))).withColumn(name, F.col("run") * RUN + F.col(name)).drop("run")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -65,13 +65,12 @@ def contexts(w: tk.Words, at: np.ndarray, depth: int, reach: int) -> tuple[list[
     return left, right
 
 
-def _alike(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The first of the rows that are alike in all columns, for each row, by 64 bits of hash; and which rows are first."""
+def _names(columns: list[np.ndarray]) -> np.ndarray:
+    """64 bits of hash of each row: a name that doesn't depend on the order in which a chunk's texts arrive."""
     total = np.zeros(len(columns[0]), U)
     for c in columns:
         total = tk.mix(total * U(0x9E3779B97F4A7C15) + c + U(1))
-    _, first, back = np.unique(total, return_index=True, return_inverse=True)
-    return first[back], np.sort(first)
+    return total
 
 
 def _order(keys: list[np.ndarray], words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,17 +147,20 @@ def _steps(width: int, gram: int, depth: int, within: bool) -> repeats.Steps:
             is_hot = (found[-1] & np.uint32(1)) > 0
             cold, hot = (repeats._among(keys, [*(c[some] for c in found[:-1]), found[-1][some] & ~np.uint32(3)]) for some in (~is_hot, is_hot))
             around_l, around_r = contexts(w, at, depth, reach)
-            first, heads = _alike([*keys, *around_l, *around_r])
-            row = w.row_of()[at]
-            low, high = np.full(len(at), len(row) + len(at)), np.full(len(at), -1)
-            place = np.arange(len(at)) if within else row
-            np.minimum.at(low, first, place)
-            np.maximum.at(high, first, place)
-            heads = heads[cold[heads]]
-            heads = heads[np.lexsort([k[heads] for k in keys[::-1]])]
+            name, place = _names([*keys, *around_l, *around_r]), np.arange(len(at)) if within else w.row_of()[at]
+            mine = np.flatnonzero(cold)
+            mine = mine[np.argsort(name[mine], kind="stable")]
+            begin = np.flatnonzero(np.append(True, name[mine][1:] != name[mine][:-1])[: len(mine)])
+            if len(mine):
+                many = np.maximum.reduceat(place[mine], begin) > np.minimum.reduceat(place[mine], begin)
+                heads = mine[begin]
+                order = np.lexsort([k[heads] for k in keys[::-1]])
+                heads, many = heads[order], many[order]
+            else:
+                heads, many = mine, np.empty(0, bool)
             sent = [c[heads] for c in keys]
-            sent[-1] = sent[-1] | (high > low)[heads].astype(np.uint32)
-            sent += [c[heads] for c in (*around_l, *around_r)] + [place[heads].astype(np.uint32), heads.astype(np.uint32)]
+            sent[-1] = sent[-1] | many.astype(np.uint32)
+            sent += [c[heads] for c in (*around_l, *around_r)] + [place[heads].astype(np.uint32), *repeats._split(name[heads])]
             rows = [(bucket, chunk, _SUFFIXES, b - a, repeats._packed([c[a:b] for c in sent])) for bucket, a, b in repeats._dealt(sent, buckets)]
             if hot.any():
                 windows = repeats._sent(chunk, *repeats.around(w, at[hot], width, reach, within), buckets)
@@ -172,19 +174,19 @@ def _steps(width: int, gram: int, depth: int, within: bool) -> repeats.Steps:
                 out += [(r["chunk"], _WINDOWS, r["keys"]) for r in repeats._twice(3, 0)(key, windows).to_pylist()]
             mine = table.filter(pa.array(kind == _SUFFIXES))
             chunks, ns = mine["chunk"].to_numpy(), mine["n"].to_numpy()
-            width_ = columns + 2 * reach + 2
+            width_ = columns + 2 * reach + 3
             parts = [repeats._unpacked(d.as_py(), n, width_) for d, n in zip(mine["keys"], ns, strict=True)]
             if parts:
                 whole = [np.concatenate([p[k] for p in parts]) for k in range(width_)]
                 many = (whole[columns - 1] & np.uint32(1)) > 0
                 keys = [*whole[: columns - 1], whole[columns - 1] & ~np.uint32(3)]
-                text = (np.repeat(chunks, ns).astype(np.int64) << 32) | whole[-2]
-                mask = repeated_windows(keys, whole[columns : columns + reach], whole[columns + reach : -2], text, many)
+                text = (np.repeat(chunks, ns).astype(np.int64) << 32) | whole[-3]
+                mask = repeated_windows(keys, whole[columns : columns + reach], whole[columns + reach : -3], text, many)
                 ends = np.cumsum(ns)
                 for chunk, a, b in zip(chunks.tolist(), (ends - ns).tolist(), ends.tolist(), strict=True):
                     hit = np.flatnonzero(mask[a:b]) + a
                     if len(hit):
-                        out.append((chunk, _SUFFIXES, repeats._packed([whole[-1][hit], mask[hit]])))
+                        out.append((chunk, _SUFFIXES, repeats._packed([whole[-2][hit], whole[-1][hit], mask[hit]])))
             return _table(out, _ANSWER)
 
         def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -194,11 +196,13 @@ def _steps(width: int, gram: int, depth: int, within: bool) -> repeats.Steps:
                 kind = right["kind"].to_numpy()
                 keys, at, _ = anchors(w)
                 around_l, around_r = contexts(w, at, depth, reach)
-                first, _ = _alike([*keys, *around_l, *around_r])
-                ids, masks = repeats._answers(right.filter(pa.array(kind == _SUFFIXES)), 2)
-                mask = np.zeros(len(at), np.uint32)
-                mask[ids] = masks
-                mask = mask[first]
+                name = _names([*keys, *around_l, *around_r])
+                high, low, masks = repeats._answers(right.filter(pa.array(kind == _SUFFIXES)), 3)
+                told = (high.astype(U) << U(32)) | low
+                order = np.argsort(told)
+                told, masks = np.append(told[order], U(0)), np.append(masks[order], np.uint32(0))
+                slot = np.minimum(np.searchsorted(told[:-1], name), len(told) - 1)
+                mask = np.where(told[slot] == name, masks[slot], np.uint32(0))
                 starts = [at[(mask >> np.uint32(j)) & np.uint32(1) > 0] - j for j in range(reach + 1)]
                 windows = right.filter(pa.array(kind == _WINDOWS))
                 if windows.num_rows:

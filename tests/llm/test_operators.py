@@ -6,7 +6,7 @@ import zlib
 import pyarrow as pa
 import pytest
 
-from skerry.llm import chat, components, contamination, langid, mixing, near, pii, repeats, rules, shards, store, substrings, suffixes
+from skerry.llm import chat, components, contamination, langid, mixing, near, pii, repeats, rules, shards, store, substrings, suffixes, textkit
 from skerry.llm.queries import QUERIES
 from tests.conftest import SF
 from tests.llm import brute
@@ -568,6 +568,15 @@ def test_suffix_matches_grow_to_both_sides(spark, docs, texts, table, pairs, mon
             monkeypatch.setattr(repeats, "CHUNK_BYTES", size)
             monkeypatch.setattr(repeats, "BUCKET_WORDS", size // 10)
             assert got(suffixes.spans(frame), "doc_id", "start", "end", "n_words") == sorted(brute.repeated_spans(rows, 50))
+    seen = suffixes._steps(50, 8, 32, False)(1)
+    left = pa.table({"chunk": [0] * len(made), "doc_id": list(range(len(made))), "text": made})
+    keys, at, _ = suffixes._anchors(50, 8, 32)(textkit.words(left["text"]))
+    told = pa.table({"chunk": pa.array([0], pa.int32()), "keys": [repeats._packed(keys)]})
+    sent = seen[0]((pa.scalar(0),), left, told)
+    answers = seen[1]((pa.scalar(0),), sent)
+    for turned in (left, left.take(list(reversed(range(len(made)))))):  # a chunk's texts may arrive in any order
+        out = seen[2]((pa.scalar(0),), turned, answers)
+        assert sorted(zip(*(out[c].to_pylist() for c in out.column_names), strict=True)) == sorted(brute.repeated_spans(rows, 50))
     alone = spark.createDataFrame([(None, made[-1]), (None, "a"), (None, None)], "doc_id long, text string")
     assert suffixes.spans(alone).count() == 0 and suffixes.spans(alone, within=True).count() == 2
 
@@ -576,8 +585,6 @@ def test_buckets_are_filled_evenly(table):
     """The fullest of many buckets holds less than one and a half times the mean, of suffixes as of blocks."""
     import numpy as np
 
-    from skerry.llm import textkit
-
     w = textkit.words(pa.array([r.text for r in table.select("text").collect()] * 3))
     w.hash[:] = textkit.mix(w.hash + np.arange(len(w.hash), dtype=np.uint64))  # as if all words differed
     for anchors in (suffixes._anchors(50, 8, 32), substrings._anchors(18)):
@@ -594,8 +601,6 @@ def test_kept_text(spark):
 
 
 def test_words_of_columns():
-    from skerry.llm import textkit
-
     w = textkit.words(pa.array(["  a\x0bb", None, "", "c"]))
     assert w.counts.tolist() == [2, 0, 0, 1] and len(set(w.hash.tolist())) == 3
     assert textkit.words(pa.array([], pa.string())).counts.tolist() == []
