@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from json import loads
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.operators import ordered
@@ -29,18 +31,21 @@ def p95(column: str) -> Column:
     return F.round(F.percentile(column, F.lit(0.95)), 3)
 
 
-def nearest_rank(values: str, fraction: float) -> Column:
-    """sorted[round(fraction * (n - 1))], halves to even; 0 over nothing."""
-    held = F.array_sort(F.collect_list(values))
-    at = F.bround(F.lit(fraction) * (F.size(held) - 1)).cast("int") + 1
-    return F.when(F.size(held) == 0, F.lit(0)).otherwise(F.element_at(held, F.greatest(at, F.lit(1))))
+def nearest_ranks(df: DataFrame, keys: Sequence[str], values: str, **fractions: float) -> DataFrame:
+    """sorted[round(fraction * (n - 1))] of each key's values, halves to even; 0 for a key that has none.
+
+    Equal values are counted before the shuffle, and a running count over the distinct ones finds the ranks, so no list is held.
+    """
+    counts = df.groupBy(*keys, F.col(values).alias("v_")).agg(F.count(values).alias("c_"))
+    w = Window.partitionBy(*keys)
+    upto = counts.withColumn("n_", F.sum("c_").over(w)).withColumn("upto_", F.sum("c_").over(w.orderBy("v_")))
+    rank = lambda f: F.bround(F.lit(f) * (F.col("n_") - 1))
+    return upto.groupBy(*keys).agg(*[F.coalesce(F.min(F.when((F.col("c_") > 0) & (F.col("upto_") > rank(f)), F.col("v_"))), F.lit(0)).alias(n) for n, f in fractions.items()])
 
 
 def ceil_rank(values: str, fraction: float, default: int = 1) -> Column:
-    """sorted[ceil(fraction * n) - 1]; the default over nothing."""
-    held = F.array_sort(F.collect_list(values))
-    at = F.greatest(F.ceil(F.lit(fraction) * F.size(held)).cast("int"), F.lit(1))
-    return F.when(F.size(held) == 0, F.lit(default)).otherwise(F.element_at(held, at))
+    """sorted[ceil(fraction * n) - 1]; the default over nothing. The discrete percentile is that, from counts of distinct values."""
+    return F.coalesce(F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {values})"), F.lit(default))
 
 
 def noisy_or(probability: str, prior: float) -> Column:
@@ -81,10 +86,36 @@ def mode(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return counts.groupBy(*keys).agg(best, (F.count("*") > 1).alias("ambiguous")).select(*keys, F.col("best.v").alias(value), (-F.col("best.n")).alias("n"), "ambiguous")
 
 
+def tree_total(text: str | None, key: str) -> int:
+    """The sum of all whole numbers under `key` anywhere in a JSON text: a number itself, or an object's numbers; not below that."""
+    try:
+        stack, total = [loads(text)], 0
+    except (TypeError, ValueError):
+        return 0
+    whole = lambda x: isinstance(x, int) and not isinstance(x, bool)
+    while stack:
+        at = stack.pop()
+        if isinstance(at, list):
+            stack.extend(at)
+        elif isinstance(at, dict):
+            for name, value in at.items():
+                if name != key:
+                    stack.append(value)
+                elif isinstance(value, dict):
+                    total += sum(filter(whole, value.values()))
+                elif whole(value):
+                    total += value
+    return total
+
+
 def tree_sum(json: Column, key: str) -> Column:
-    """The sum of all numbers under `key` anywhere in a JSON text. The pattern finds `"key": number` at any depth."""
-    found = F.regexp_extract_all(json, F.lit(f'"{key}"\\s*:\\s*(-?[0-9]+)'), F.lit(1))
-    return F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    """tree_total() of each text; 0 for what isn't JSON. Trees have no schema to walk by expressions, so batches go through Arrow."""
+
+    @F.pandas_udf("long")
+    def total(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: tree_total(t, key))
+
+    return total(json)
 
 
 def map_sum(values: Column) -> Column:

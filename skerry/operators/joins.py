@@ -14,13 +14,11 @@ def as_of(events: DataFrame, snapshots: DataFrame, time: str, from_: str, keys:
     """Each event with the snapshot in force: the one of its keys with the greatest `from_` at or before `time`, or nulls.
 
     Both sides meet in one ordered stream by key, and a running last value carries the snapshot on: a single
-    shuffle, no range join, and no limit on the number of snapshots. Without keys the snapshots' changes are few rows
-    and become intervals that are joined by range.
+    shuffle, no range join, and no limit on the number of snapshots. Without keys see _as_of_days().
     """
     columns = [c for c in snapshots.columns if c not in (*keys, from_)]
     if not keys:
-        ends = snapshots.withColumn("until_", F.lead(from_).over(Window.partitionBy(F.lit(0)).orderBy(from_)))
-        return events.join(ends, (F.col(time) >= F.col(from_)) & (F.col("until_").isNull() | (F.col(time) < F.col("until_"))), "left").drop("until_")
+        return _as_of_days(events, snapshots, time, from_)
     held = snapshots.select(*keys, F.col(from_).alias("t_"), F.lit(0).alias("side_"), F.struct(F.col(from_).alias(from_), *columns).alias("snap_"), F.lit(None).cast(events.schema).alias("event_"))
     asked = events.select(*keys, F.col(time).alias("t_"), F.lit(1).alias("side_"), F.lit(None).cast(held.schema["snap_"].dataType).alias("snap_"), F.struct(*[F.col(c) for c in events.columns]).alias("event_"))
     w = Window.partitionBy(*keys).orderBy("t_", "side_").rowsBetween(Window.unboundedPreceding, 0)
@@ -28,6 +26,27 @@ def as_of(events: DataFrame, snapshots: DataFrame, time: str, from_: str, keys:
     return met.where("side_ = 1").select("event_.*", "snap_.*")
 
 
+def _as_of_days(events: DataFrame, snapshots: DataFrame, time: str, from_: str, day_ms: int = 86_400_000) -> DataFrame:
+    """as_of() without keys, by day: each day has the snapshot that it begins with and those that take effect within it.
+
+    So events meet the few snapshots of their own day by an equi join. Only distinct days and snapshots pass through one task, to carry the last
+    snapshot on from day to day. Of snapshots that take effect at once the last by its other columns counts.
+    """
+    columns = [c for c in snapshots.columns if c != from_]
+    day = lambda c: F.floor(F.col(c) / day_ms)
+    held = snapshots.select(F.col(from_).alias("t_"), F.lit(1).alias("side_"), F.struct(F.col(from_).alias(from_), *columns).alias("snap_"))
+    days = events.select(day(time).alias("day_")).distinct().select((F.col("day_") * day_ms).alias("t_"), F.lit(0).alias("side_"), F.lit(None).cast(held.schema["snap_"].dataType).alias("snap_"))
+    w = Window.partitionBy(F.lit(0)).orderBy("t_", "side_", "snap_").rowsBetween(Window.unboundedPreceding, 0)
+    begins = days.unionByName(held).withColumn("snap_", F.last("snap_", ignorenulls=True).over(w)).where((F.col("side_") == 0) & F.col("snap_").isNotNull())
+    within = held.select(day("t_").alias("day_"), "snap_")
+    offered = begins.select(day("t_").alias("day_"), "snap_").unionByName(within)
+    until = F.lead(F.col("snap_")[from_]).over(Window.partitionBy("day_").orderBy("snap_"))
+    offered = offered.withColumn("until_", until)
+    inside = (F.col(time) >= F.col("snap_")[from_]) & (F.col("until_").isNull() | (F.col(time) < F.col("until_")))
+    met = events.withColumn("at_day_", day(time)).join(offered, (F.col("at_day_") == F.col("day_")) & inside, "left")
+    return met.select(*[events[c] for c in events.columns], "snap_.*")
+
+
 def lookup(rows: DataFrame, dimension: DataFrame, keys: Sequence[str], **columns: str) -> DataFrame:
     """Left join with a dimension; what isn't found is the sentinel, never null."""
     side = dimension.select(*keys, *[F.col(c).alias(n) for n, c in columns.items()])

@@ -96,7 +96,7 @@ def noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("nearest_rank_p95", W + "SELECT family, list_sort(list(enter_system_lag_ms))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1] AS p95, list_sort(list(enter_system_lag_ms))[CAST(round_even(0.5 * (count(*) - 1), 0) AS BIGINT) + 1] AS p50 FROM log_events WHERE event_type = 'error' GROUP BY family")
 def nearest_rank_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_events(spark, sf_dir).where("event_type = 'error'").groupBy("family").agg(a.nearest_rank("enter_system_lag_ms", 0.95).alias("p95"), a.nearest_rank("enter_system_lag_ms", 0.5).alias("p50"))
+    return a.nearest_ranks(log_events(spark, sf_dir).where("event_type = 'error'"), ["family"], "enter_system_lag_ms", p95=0.95, p50=0.5)
 
 
 @query("ceil_rank_p95", W + "SELECT origin_host, list_sort(list(n))[CAST(ceil(0.95 * count(*)) AS BIGINT)]::BIGINT AS p95, least(2000, greatest(50, ceil(list_sort(list(n))[CAST(ceil(0.95 * count(*)) AS BIGINT)] * 12 * 9)))::BIGINT AS burst FROM (SELECT origin_host, collector_ms // 86400000 AS d, count(*) AS n FROM log_events GROUP BY ALL) GROUP BY origin_host")
@@ -114,9 +114,9 @@ def modal_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.mode(rows, ["origin_host"], "family")
 
 
-@query("json_tree_sum", "SELECT event_id, (event_id % 7 + event_id % 5 + 3)::BIGINT AS rejections, (user_id + event_id)::BIGINT AS counters FROM events")
+@query("json_tree_sum", "SELECT event_id, (event_id % 7 + event_id % 5 + 3 + event_id % 3 + 4)::BIGINT AS rejections, (user_id + event_id)::BIGINT AS counters FROM events")
 def json_tree_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = F.format_string('{"a":{"rejection_count":%d,"b":[{"rejection_count": %d}]},"rejection_count":3,"other":9}', F.col("event_id") % 7, F.col("event_id") % 5)
+    tree = F.format_string('{"a":{"rejection_count":%d,"b":[{"rejection_count": %d},{"rejection_count":1.5}]},"rejection_count":3,"other":9,"c":{"rejection_count":{"x":%d,"y":4,"z":{"w":8},"v":"7"}}}', F.col("event_id") % 7, F.col("event_id") % 5, F.col("event_id") % 3)
     counters = F.create_map(F.lit("x"), F.col("user_id"), F.lit("y"), F.col("event_id"))
     return table(spark, sf_dir, "events").select("event_id", a.tree_sum(tree, "rejection_count").alias("rejections"), a.map_sum(counters).alias("counters"))
 

@@ -91,14 +91,7 @@ _SEARCHES = {
 
 
 def _search(name: str, where: str, sql: str) -> None:
-    @query(f"search_{name}", W + f"SELECT event_id, collector_ms, origin_host, severity_norm FROM log_events WHERE {sql} ORDER BY collector_ms DESC, event_id DESC LIMIT 100")
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """A saved search: the last hundred records that match."""
-        return log_events(spark, sf_dir).where(where).select("event_id", "collector_ms", "origin_host", "severity_norm").orderBy(F.desc("collector_ms"), F.desc("event_id")).limit(100)
-
-
-def _search_all(name: str, where: str, sql: str) -> None:
-    @query(f"search_{name}_all", W + f"SELECT event_id, collector_ms, origin_host, severity_norm FROM log_events WHERE {sql} ORDER BY collector_ms DESC, event_id DESC")
+    @query(f"search_{name}", W + f"SELECT event_id, collector_ms, origin_host, severity_norm FROM log_events WHERE {sql} ORDER BY collector_ms DESC, event_id DESC")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """A saved search: all records that match, the last first."""
         return log_events(spark, sf_dir).where(where).select("event_id", "collector_ms", "origin_host", "severity_norm").orderBy(F.desc("collector_ms"), F.desc("event_id"))
@@ -106,7 +99,6 @@ def _search_all(name: str, where: str, sql: str) -> None:
 
 for _name, (_where, _sql) in _SEARCHES.items():
     _search(_name, _where, _sql)
-    _search_all(_name, _where, _sql)
 
 
 @query("search_text", "SELECT doc_id FROM documents WHERE list_has_any(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), ['tcp', 'connection', 'refused', 'timeout', 'worthless'])")
@@ -114,24 +106,14 @@ def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(p.any_token(F.col("text"), "tcp", "connection", "refused", "timeout", "worthless")).select("doc_id")
 
 
-for _state in ("firing", "resolved"):
-
-    def _signals(state: str) -> None:
-        @query(f"search_signals_{state}", S + f"SELECT source_id, alertname, severity, last_seen FROM signals WHERE state = '{state}' ORDER BY severity, last_seen DESC, source_id LIMIT 100")
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return signals(spark, sf_dir).where(F.col("state") == state).select("source_id", "alertname", "severity", "last_seen").orderBy("severity", F.desc("last_seen"), "source_id").limit(100)
-
-    _signals(_state)
-
-
-def _signals_all(name: str, where: str) -> None:
+def _signals(name: str, where: str) -> None:
     @query(f"search_signals_{name}", S + f"SELECT source_id, alertname, severity, last_seen FROM signals WHERE {where} ORDER BY severity, last_seen DESC, source_id")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return signals(spark, sf_dir).where(where).select("source_id", "alertname", "severity", "last_seen").orderBy("severity", F.desc("last_seen"), "source_id")
 
 
-for _name, _where in {"firing_all": "state = 'firing'", "resolved_all": "state = 'resolved'", "all": "true"}.items():
-    _signals_all(_name, _where)
+for _name, _where in {"firing": "state = 'firing'", "resolved": "state = 'resolved'", "all": "true"}.items():
+    _signals(_name, _where)
 
 
 @query("search_alerts_active", f"WITH {ALERTS} SELECT id, monitor_name, severity, state, start_time FROM alerts WHERE state = 'ACTIVE' ORDER BY start_time DESC, id")

@@ -48,14 +48,8 @@ def host_collector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.lookup(log_events(spark, sf_dir).select("event_id", "origin_host"), current, ["origin_host"], collector_id="collector_id").select("event_id", "collector_id")
 
 
-@query("heartbeat_absence", f"WITH {LOG}, {ROSTER}, {METRICS} SELECT collector_id, CASE WHEN {AS_OF} - last_ms <= {2 * DAY} THEN 0 ELSE 1 END::INTEGER AS missing, {AS_OF} - last_ms AS age_ms FROM (SELECT DISTINCT collector_id FROM roster) LEFT JOIN (SELECT collector_id, max(ts) AS last_ms FROM metric_samples WHERE kind = 'fluentbit' AND event_id % 9 = 0 GROUP BY collector_id) USING (collector_id)")
+@query("heartbeat_absence", f"WITH {LOG}, {ROSTER}, {METRICS} SELECT collector_id, CASE WHEN {AS_OF} - last_ms <= {2 * DAY} THEN 0 ELSE 1 END::INTEGER AS missing, {AS_OF} - last_ms AS age_ms FROM (SELECT DISTINCT collector_id FROM roster) LEFT JOIN (SELECT collector_id, max(ts) AS last_ms FROM metric_samples WHERE kind = 'fluentbit' GROUP BY collector_id) USING (collector_id)")
 def heartbeat_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = metric_samples(spark, sf_dir).where("kind = 'fluentbit' and event_id % 9 = 0")
-    return j.heartbeat_absence(roster(spark, sf_dir), seen, "collector_id", "ts", AS_OF, 2 * DAY)
-
-
-@query("heartbeat_absence_whole", f"WITH {LOG}, {ROSTER}, {METRICS} SELECT collector_id, CASE WHEN {AS_OF} - last_ms <= {2 * DAY} THEN 0 ELSE 1 END::INTEGER AS missing, {AS_OF} - last_ms AS age_ms FROM (SELECT DISTINCT collector_id FROM roster) LEFT JOIN (SELECT collector_id, max(ts) AS last_ms FROM metric_samples WHERE kind = 'fluentbit' GROUP BY collector_id) USING (collector_id)")
-def heartbeat_absence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absence by all fluentbit samples."""
     seen = metric_samples(spark, sf_dir).where("kind = 'fluentbit'")
     return j.heartbeat_absence(roster(spark, sf_dir), seen, "collector_id", "ts", AS_OF, 2 * DAY)
@@ -96,21 +90,7 @@ def edge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EP = "concat('e', event_id) AS incident_id, {s} AS alertname, CASE WHEN event_id % 4 = 0 THEN 'resolved' ELSE 'firing' END AS state, concat('c', user_id % 50) AS cluster_id, concat('n', user_id) AS collector_id, event_id AS opened_at".replace("{s}", _SIGNALS)
-_CAUSE_SQL = f"""WITH ep AS (SELECT {_EP} FROM events WHERE event_id < 3000), f AS (SELECT * FROM ep WHERE state = 'firing'),
-  e(cause, symptom, pair) AS (VALUES {", ".join(f"('{c}', '{s}', {'true' if len(k) > 1 else 'false'})" for c, (k, symptoms) in catalog.CAUSES.items() for s in symptoms)}),
-  m AS (SELECT s.incident_id, s.opened_at, e.cause, min(struct_pack(id := c.incident_id, o := c.opened_at)) AS c FROM f s JOIN e ON e.symptom = s.alertname JOIN f c ON c.alertname = e.cause AND c.cluster_id = s.cluster_id AND (NOT e.pair OR c.collector_id = s.collector_id) AND c.incident_id <> s.incident_id GROUP BY ALL)
-  SELECT incident_id, string_agg(cause, ',' ORDER BY cause) AS causes, string_agg(c.id, ',' ORDER BY cause) AS cause_ids, round(1 - product(0.5), 4) AS belief, false AS measured, bool_and(c.o <= opened_at) AS precedes FROM m GROUP BY incident_id"""
-
-
-@query("causal_candidates", _CAUSE_SQL)
-def causal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Causes of firing episodes, by edges whose labels differ."""
-    episodes = table(spark, sf_dir, "events").where("event_id < 3000").selectExpr(*_split(_EP))
-    got = j.candidate_causes(episodes, catalog.edges(spark))
-    return got.withColumn("causes", F.array_join("causes", ",")).withColumn("cause_ids", F.array_join("cause_ids", ","))
-
-
-_WHOLE_CAUSE_SQL = f"""WITH ep AS (SELECT {_EP} FROM events), f AS (SELECT * FROM ep WHERE state = 'firing'),
+_CAUSE_SQL = f"""WITH ep AS (SELECT {_EP} FROM events), f AS (SELECT * FROM ep WHERE state = 'firing'),
   e(cause, symptom, pair) AS (VALUES {", ".join(f"('{c}', '{s}', {'true' if len(k) > 1 else 'false'})" for c, (k, symptoms) in catalog.CAUSES.items() for s in symptoms)}),
   wide AS (SELECT alertname, cluster_id, min(struct_pack(id := incident_id, o := opened_at)) AS c FROM f GROUP BY ALL),
   near AS (SELECT alertname, cluster_id, collector_id, min(struct_pack(id := incident_id, o := opened_at)) AS c FROM f GROUP BY ALL),
@@ -119,8 +99,8 @@ _WHOLE_CAUSE_SQL = f"""WITH ep AS (SELECT {_EP} FROM events), f AS (SELECT * FRO
   SELECT incident_id, string_agg(cause, ',' ORDER BY cause) AS causes, string_agg(c.id, ',' ORDER BY cause) AS cause_ids, round(1 - product(0.5), 4) AS belief, false AS measured, bool_and(c.o <= opened_at) AS precedes FROM m GROUP BY incident_id"""
 
 
-@query("causal_candidates_whole", _WHOLE_CAUSE_SQL)
-def causal_candidates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("causal_candidates", _CAUSE_SQL)
+def causal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Causes of all firing episodes; the SQL joins with the first cause of each key, as no edge leads to its own label."""
     got = j.candidate_causes(table(spark, sf_dir, "events").selectExpr(*_split(_EP)), catalog.edges(spark))
     return got.withColumn("causes", F.array_join("causes", ",")).withColumn("cause_ids", F.array_join("cause_ids", ","))
@@ -154,16 +134,8 @@ def lossless_recon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.unprojected(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", projected, "order")
 
 
-@query("notification_membership", "SELECT DISTINCT n.user_id AS note, s.event_id AS signal FROM events s JOIN (SELECT user_id, list(event_id + 1) AS ids, list(DISTINCT user_id % 20) AS eps FROM events WHERE event_id % 3 = 0 AND event_id < 2000 GROUP BY user_id) n ON list_contains(n.ids, s.event_id) OR (list_contains(n.eps, s.user_id) AND s.event_id < 500) WHERE s.event_id < 2002")
+@query("notification_membership", "WITH n AS (SELECT user_id AS note, event_id + 1 AS id, user_id % 20 AS ep FROM events WHERE event_id % 3 = 0) SELECT note, event_id AS signal FROM events JOIN n ON id = event_id UNION SELECT note, event_id FROM events JOIN (SELECT DISTINCT note, ep FROM n) ON ep = user_id")
 def notification_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    notes = e.where("event_id % 3 = 0 and event_id < 2000").groupBy(F.col("user_id").alias("note")).agg(F.collect_list(F.col("event_id") + 1).alias("ids"), F.collect_set(F.col("user_id") % 20).alias("eps"))
-    signals = e.where("event_id < 2002").select(F.col("event_id").alias("signal"), F.col("event_id").alias("source_id"), F.when(F.col("event_id") < 500, F.col("user_id")).alias("episode_id"))
-    return j.members(signals, notes, "signal", {"source_id": "ids", "episode_id": "eps"}, "note")
-
-
-@query("notification_membership_whole", "WITH n AS (SELECT user_id AS note, event_id + 1 AS id, user_id % 20 AS ep FROM events WHERE event_id % 3 = 0) SELECT note, event_id AS signal FROM events JOIN n ON id = event_id UNION SELECT note, event_id FROM events JOIN (SELECT DISTINCT note, ep FROM n) ON ep = user_id")
-def notification_membership_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All signals by all notifications, by either id; each third event is a notification."""
     e = table(spark, sf_dir, "events")
     notes = e.where("event_id % 3 = 0").groupBy(F.col("user_id").alias("note")).agg(F.collect_list(F.col("event_id") + 1).alias("ids"), F.collect_set(F.col("user_id") % 20).alias("eps"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +15,7 @@ from skerry.plans.rollups import META_SQL, ROLL_SQL, rolled, rolled_meta
 from skerry.session import DAY
 from skerry.sources import logs, sinks
 from skerry.sources.adapters import LOG, METRICS, log_events, metric_samples, table
+from skerry.sources.shared import home
 from skerry.streaming import jobs
 
 W, M, S = f"WITH {LOG} ", f"WITH {METRICS} ", f"WITH {SIGNALS_SQL} "
@@ -128,8 +128,12 @@ def families_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("latest_upsert", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an upsert by key leaves: the latest row of each."""
-    return ordered.latest(table(spark, sf_dir, "events"), ["user_id"], F.col("event_id"), ["event_id"])
+    """What upserts by key leave: of each key the latest row of the batch that wrote it last."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("user_id") % 8).alias("part"))
+    path = f"{home(spark)}/upsert-{uuid.uuid4().hex}"
+    for batch in (rows.where("event_id % 2 = 0"), rows.where("user_id % 8 < 4"), rows, rows):
+        sinks.upsert(batch, path, ["user_id"], "part", "event_id")
+    return spark.read.parquet(path).select("user_id", "event_id")
 
 
 @query("snapshot_change", f"WITH {LOG} SELECT day, hosts FROM (SELECT collector_ms // {DAY} AS day, count(DISTINCT origin_host)::BIGINT AS hosts, lag(count(DISTINCT origin_host)) OVER (ORDER BY collector_ms // {DAY}) AS before FROM log_events GROUP BY 1) WHERE before IS NULL OR before <> hosts")
@@ -143,12 +147,11 @@ def snapshot_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_daily_counts", f"WITH {LOG} SELECT collector_ms // {DAY} * {DAY} AS window_ms, family, count(*)::BIGINT AS n FROM log_events GROUP BY ALL")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts by a stream that reads what is there, upserts every batch and stops."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skerry-")
-    home = f"{root.rstrip('/')}/skerry-stream-{uuid.uuid4().hex}"
+    place = f"{home(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     family = F.when(F.col("user_id") % 3 == 0, "infologger").when(F.col("user_id") % 3 == 1, "local").otherwise("central")
     counted = jobs.tumbling(rows.withColumn("family", family), "ts", "1 day", "2 minutes", ["family"], F.count("*").alias("n"))
     flat = counted.select(F.unix_millis("window.start").alias("window_ms"), "family", "n")
-    jobs.run_once(flat, jobs.upsert_each(f"{home}/counts", ["window_ms", "family"]), f"{home}/checkpoint")
-    return spark.read.parquet(f"{home}/counts")
+    jobs.run_once(flat, jobs.upsert_each(f"{place}/counts", ["window_ms", "family"]), f"{place}/checkpoint")
+    return spark.read.parquet(f"{place}/counts")

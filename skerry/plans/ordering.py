@@ -83,15 +83,8 @@ def sorted_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_events(spark, sf_dir).select("event_id", "severity_norm", "collector_ms").orderBy("severity_norm", F.desc("collector_ms"), "event_id").limit(25)
 
 
-@query("lifecycle_sort", f"WITH {ALERTS} SELECT monitor_name, string_agg(id, ',' ORDER BY start_time, last_notification_time, CASE WHEN state IN ('ACTIVE', 'ERROR') THEN 0 ELSE 1 END, id) AS ids FROM (SELECT * FROM alerts WHERE bucket_key = 'node-001') GROUP BY monitor_name")
+@query("lifecycle_sort", f"WITH {ALERTS} SELECT monitor_name, bucket_key, string_agg(id, ',' ORDER BY start_time, last_notification_time, CASE WHEN state IN ('ACTIVE', 'ERROR') THEN 0 ELSE 1 END, id) AS ids FROM alerts GROUP BY monitor_name, bucket_key")
 def lifecycle_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.when(F.col("state").isin("ACTIVE", "ERROR"), 0).otherwise(1)
-    held = F.array_sort(F.collect_list(F.struct("start_time", "last_notification_time", rank.alias("rank"), "id")))
-    return alerts(spark, sf_dir).where("bucket_key = 'node-001'").groupBy("monitor_name").agg(F.array_join(F.transform(held, lambda x: x["id"]), ",").alias("ids"))
-
-
-@query("lifecycle_sort_whole", f"WITH {ALERTS} SELECT monitor_name, bucket_key, string_agg(id, ',' ORDER BY start_time, last_notification_time, CASE WHEN state IN ('ACTIVE', 'ERROR') THEN 0 ELSE 1 END, id) AS ids FROM alerts GROUP BY monitor_name, bucket_key")
-def lifecycle_sort_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alerts of every incident in order; those without a bucket are one incident of their monitor."""
     rank = F.when(F.col("state").isin("ACTIVE", "ERROR"), 0).otherwise(1)
     held = F.array_sort(F.collect_list(F.struct("start_time", "last_notification_time", rank.alias("rank"), "id")))

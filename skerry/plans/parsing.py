@@ -70,6 +70,14 @@ def epoch_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.expr(_CLOCK.replace("varchar", "string")).alias("clock")).select("event_id", p.epoch_ms(F.col("clock")).alias("ms"))
 
 
+@query("epoch_numbers", "SELECT event_id, ms // 1000 * 1000 AS from_seconds, ms AS from_millis, ms // 1000 * 1000 AS from_long, ms AS from_text FROM (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events)")
+def epoch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clock as a double of seconds, a double and a long of either, and as text."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    forms = {"from_seconds": F.col("ms") / 1000.0, "from_millis": F.col("ms").cast("double"), "from_long": F.floor(F.col("ms") / 1000), "from_text": F.col("ms").cast("string")}
+    return rows.select("event_id", *[p.epoch_ms(c).alias(n) for n, c in forms.items()])
+
+
 @query("log_lags", W + "SELECT event_id, ingest_lag_ms, enter_system_lag_ms FROM log_events")
 def log_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = log_events(spark, sf_dir)

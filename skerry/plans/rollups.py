@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from skerry.operators import rollup as r
 from skerry.plans.registry import query
 from skerry.session import DAY
 from skerry.sources.adapters import LOG, log_events
+from skerry.sources.shared import home
 
 BACK = 3 * DAY
 
@@ -25,30 +28,29 @@ ROLL_SQL = f"""{LOG}, entity_rows AS (
     WHERE EXISTS (SELECT 1 FROM rollup x WHERE x.family = c.family AND x.entity_kind = c.entity_kind AND x.entity = e.entity AND x.ts < c.ts AND x.ts >= c.ts - {BACK})
     AND NOT EXISTS (SELECT 1 FROM rollup x WHERE x.family = c.family AND x.entity_kind = c.entity_kind AND x.entity = e.entity AND x.ts = c.ts))"""
 META_SQL = f"""{ROLL_SQL}, whole AS (SELECT * FROM rollup UNION ALL SELECT * FROM imputed),
-  meta AS (SELECT b.ts, k.family, k.entity_kind, least(count(w.entity), 45)::BIGINT AS entity_count, count(*) FILTER (w.imputed)::BIGINT AS imputed_count, coalesce(sum(w.doc_count), 0)::BIGINT AS doc_count, count(w.entity) > 45 AS truncated
-    FROM (SELECT DISTINCT ts FROM rollup) b CROSS JOIN (VALUES ('infologger', 'host'), ('infologger', 'node'), ('central', 'host'), ('local', 'host'), ('local', 'node')) k(family, entity_kind)
-    LEFT JOIN whole w ON w.ts = b.ts AND w.family = k.family AND w.entity_kind = k.entity_kind GROUP BY ALL)"""
-
-#: The same with the cap of production.
-WHOLE_META_SQL = f"""{ROLL_SQL}, whole AS (SELECT * FROM rollup UNION ALL SELECT * FROM imputed),
   meta AS (SELECT b.ts, k.family, k.entity_kind, least(count(w.entity), {r.ENTITY_CAP})::BIGINT AS entity_count, count(*) FILTER (w.imputed)::BIGINT AS imputed_count, coalesce(sum(w.doc_count), 0)::BIGINT AS doc_count, count(w.entity) > {r.ENTITY_CAP} AS truncated
     FROM (SELECT DISTINCT ts FROM rollup) b CROSS JOIN (VALUES ('infologger', 'host'), ('infologger', 'node'), ('central', 'host'), ('local', 'host'), ('local', 'node')) k(family, entity_kind)
     LEFT JOIN whole w ON w.ts = b.ts AND w.family = k.family AND w.entity_kind = k.entity_kind GROUP BY ALL)"""
 
 
+_COMMITTED: dict[tuple[str, str], str] = {}
+
+
 def rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily entity rows with imputed silence."""
+    """Daily entity rows with imputed silence. They are rolled once an application and read from then on, a partition a bucket.
+
+    So a rule's bounds on `ts` and its cohort reach the scan of the rollup, and raw logs aren't read again.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
     rows = r.roll(log_events(spark, sf_dir), DAY)
-    return rows.unionByName(r.impute(rows, DAY, BACK))
+    if key not in _COMMITTED:
+        path = f"{home(spark)}/rollup-{uuid.uuid4().hex}"
+        rows.unionByName(r.impute(rows, DAY, BACK)).write.partitionBy("ts").parquet(path)
+        _COMMITTED[key] = path
+    return spark.read.schema(rows.schema).parquet(_COMMITTED[key]).select(*rows.columns)
 
 
 def rolled_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = rolled(spark, sf_dir)
-    return r.meta(whole, whole.where("not imputed"), cap=45)
-
-
-def whole_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata with the cap of production."""
     whole = rolled(spark, sf_dir)
     return r.meta(whole, whole.where("not imputed"))
 
@@ -74,25 +76,9 @@ def rollup_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.commits(rolled_meta(spark, sf_dir)).select("ts", "complete", "observed_cohort_count", F.array_join(listed, ",").alias("cohorts"))
 
 
-@query("rollup_meta_whole", f"WITH {WHOLE_META_SQL} SELECT * FROM meta")
-def rollup_meta_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whole_meta(spark, sf_dir)
-
-
-@query("rollup_commit_whole", f"WITH {WHOLE_META_SQL} SELECT ts, NOT bool_or(truncated) AS complete, count(*)::BIGINT AS observed_cohort_count, string_agg(family || '/' || entity_kind || ':' || entity_count || ':' || doc_count, ',' ORDER BY family || '/' || entity_kind) AS cohorts FROM meta GROUP BY ts")
-def rollup_commit_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = F.transform("commit_cohorts", lambda c: F.concat(c["cohort"], F.lit(":"), c["entity_count"].cast("string"), F.lit(":"), c["doc_count"].cast("string")))
-    return r.commits(whole_meta(spark, sf_dir)).select("ts", "complete", "observed_cohort_count", F.array_join(listed, ",").alias("cohorts"))
-
-
-@query("entity_cap_whole", f"WITH {WHOLE_META_SQL} SELECT ts, family, entity_kind, entity FROM whole QUALIFY row_number() OVER (PARTITION BY ts, family, entity_kind ORDER BY entity) <= {r.ENTITY_CAP}")
-def entity_cap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.capped(rolled(spark, sf_dir)).select("ts", "family", "entity_kind", "entity")
-
-
-@query("entity_cap", f"WITH {META_SQL} SELECT ts, family, entity_kind, entity FROM whole QUALIFY row_number() OVER (PARTITION BY ts, family, entity_kind ORDER BY entity) <= 4")
+@query("entity_cap", f"WITH {META_SQL} SELECT ts, family, entity_kind, entity FROM whole QUALIFY row_number() OVER (PARTITION BY ts, family, entity_kind ORDER BY entity) <= {r.ENTITY_CAP}")
 def entity_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.capped(rolled(spark, sf_dir), 4).select("ts", "family", "entity_kind", "entity")
+    return r.capped(rolled(spark, sf_dir)).select("ts", "family", "entity_kind", "entity")
 
 
 @query("fleet_share", f"WITH {ROLL_SQL} SELECT ts, family, entity, round(doc_count / fleet_count, 9) AS share FROM rollup WHERE entity_kind = 'host'")

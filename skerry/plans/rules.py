@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skerry.operators import monitors as m
 from skerry.operators import rollup as r
 from skerry.plans.registry import query
-from skerry.plans.rollups import META_SQL, ROLL_SQL, WHOLE_META_SQL, rolled, rolled_meta, whole_meta
+from skerry.plans.rollups import META_SQL, ROLL_SQL, rolled, rolled_meta
 from skerry.session import AS_OF, DAY
 from skerry.sources.adapters import METRICS, metric_samples, table
 
@@ -27,7 +27,7 @@ def _sql(rule: m.Rule) -> str:
 def _register(rule: m.Rule) -> None:
     @query("monitor_" + rule.name.replace("-", "_"), _sql(rule))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return m.evaluate(rule, metric_samples(spark, sf_dir), AS_OF, SCALE)
+        return m.evaluate(rule, metric_samples(spark, sf_dir, AS_OF - rule.minutes * m.MINUTE * SCALE, AS_OF), AS_OF, SCALE)
 
 
 for _rule in m.RULES:
@@ -108,14 +108,9 @@ def trend_rollup_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.rollup_stale(r.commits(rolled_meta(spark, sf_dir)), AS_OF, 20 * DAY, 2 * DAY)
 
 
-@query("monitor_trend_rollup_stale_whole", f"WITH {WHOLE_META_SQL} SELECT n, n_recent, n > 0 AND n_recent = 0 AS fires FROM (SELECT count(*)::BIGINT AS n, count(*) FILTER (ts >= {AS_OF - 2 * DAY})::BIGINT AS n_recent FROM (SELECT ts, NOT bool_or(truncated) AS complete FROM meta GROUP BY ts) WHERE complete AND ts >= {AS_OF - 20 * DAY} AND ts < {AS_OF})")
-def trend_rollup_stale_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.rollup_stale(r.commits(whole_meta(spark, sf_dir)), AS_OF, 20 * DAY, 2 * DAY)
-
-
-@query("monitor_trend_entity_cap", f"WITH {META_SQL} SELECT coalesce(max(entity_count), 0)::BIGINT AS most, coalesce(bool_or(truncated), false) AS cut, coalesce(bool_or(truncated), false) OR coalesce(max(entity_count), 0) >= 40 AS fires FROM meta WHERE ts >= {AS_OF - 10 * DAY} AND ts < {AS_OF}")
+@query("monitor_trend_entity_cap", f"WITH {META_SQL} SELECT coalesce(max(entity_count), 0)::BIGINT AS most, coalesce(bool_or(truncated), false) AS cut, coalesce(bool_or(truncated), false) OR coalesce(max(entity_count), 0) >= 1800 AS fires FROM meta WHERE ts >= {AS_OF - 10 * DAY} AND ts < {AS_OF}")
 def trend_entity_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.entity_cap(rolled_meta(spark, sf_dir), AS_OF, 10 * DAY, near=40)
+    return m.entity_cap(rolled_meta(spark, sf_dir), AS_OF, 10 * DAY)
 
 
 @query("monitor_disk_fill_forecast", f"SELECT highest, coalesce(highest > 85, false) AS fires FROM (SELECT max(value / 5.0) AS highest FROM events WHERE event_id % 3 <> 0 AND epoch_us(ts) // 1000 >= {AS_OF - 5 * DAY} AND epoch_us(ts) // 1000 <= {AS_OF})")

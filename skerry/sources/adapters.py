@@ -12,9 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def between(e: DataFrame, since_ms: int | None, until_ms: int | None) -> DataFrame:
+    """Rows of `events` from one moment to another, both included: as bounds of the stored column, which the scan takes over."""
+    for ms, ok in ((since_ms, lambda t, at: t >= at), (until_ms, lambda t, at: t <= at)):
+        if ms is not None:
+            at = F.timestamp_millis(F.lit(ms))
+            e = e.where(ok(F.col("ts"), at.cast(e.schema["ts"].dataType)))
+    return e
+
+
+def log_events(spark: SparkSession, sf_dir: str, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
     """Log records: three clocks in epoch ms, two entities, severity, family and message."""
-    e = table(spark, sf_dir, "events")
+    e = between(table(spark, sf_dir, "events"), since_ms, until_ms)
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     kind = F.col("event_type")
     raw = F.when(kind.isin("click", "purchase"), "I").when(kind == "view", "D").when(kind == "signup", "W").when(kind == "error", "E")
@@ -46,9 +55,9 @@ LOG = """log_events AS (
     event_type || ' k=' || json_extract_string(props, '$.k') AS message FROM events))"""
 
 
-def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metric_samples(spark: SparkSession, sf_dir: str, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
     """Health samples of all kinds in one sparse table, as the poller writes them."""
-    e = table(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    e = between(table(spark, sf_dir, "events"), since_ms, until_ms).withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
     return e.selectExpr(*_SAMPLE_COLUMNS)
 
 

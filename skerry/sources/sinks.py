@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from skerry.functions import parsing as p
 
+DAY_MS = 86_400_000
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -28,34 +30,47 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def _swap(spark: SparkSession, new: str, path: str) -> None:
-    """Put a whole written table in another's place."""
+    """Put a whole written table in another's place. A crash between the two renames is mended by the next _recover()."""
     fs, at, jvm = _fs(spark, path)
-    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
+    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old")
     if fs.exists(at):
+        fs.delete(old, True)
         fs.rename(at, old)
     fs.rename(jvm.org.apache.hadoop.fs.Path(new), at)
     fs.delete(old, True)
 
 
+def _recover(spark: SparkSession, path: str) -> None:
+    """Bring back a table that a crashed _swap() had set aside."""
+    fs, at, jvm = _fs(spark, path)
+    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    if not fs.exists(at) and fs.exists(old):
+        fs.rename(old, at)
+
+
 def latest_by_key(rows: DataFrame, keys: Sequence[str], order: Column | str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(order) if isinstance(order, str) else order.desc())
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def upsert(rows: DataFrame, path: str, keys: Sequence[str], partition: str | None = None) -> None:
-    """Write rows so that each key has its latest row; writing the same rows again changes nothing.
+def upsert(rows: DataFrame, path: str, keys: Sequence[str], partition: str | None = None, order: str | None = None) -> None:
+    """Write rows over those of the same keys; writing the same rows again changes nothing.
 
-    With a partition column only the partitions that rows touch are read and replaced.
+    With a partition column, which must follow from the keys, only the partitions that rows touch are read and replaced; without one the whole
+    table is rewritten, which suits small tables only. Of rows that share a key the one with the greatest `order` is
+    written; without an order they must be alike.
     """
     spark = rows.sparkSession
-    new = rows.dropDuplicates(list(keys))
+    _recover(spark, path)
+    new = latest_by_key(rows, keys, order) if order else rows.dropDuplicates(list(keys))
     if not exists(spark, path):
         writer = new.write.partitionBy(partition) if partition else new.write
         writer.parquet(path)
         return
     old = spark.read.parquet(path)
     if partition:
-        old = old.join(F.broadcast(new.select(partition).distinct()), partition, "left_semi")
+        touched = [r[0] for r in new.select(partition).distinct().collect()]  # partitions of one batch: as literals they prune the scan
+        old = old.where(F.col(partition).isin(touched))
     both = old.join(new, list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
     staged = f"{path}.new-{uuid.uuid4().hex}"
     both.write.parquet(staged)
@@ -85,17 +100,17 @@ def create_only(rows: DataFrame, path: str, version: str, order: str) -> bool:
 def commit_bucket(rows: DataFrame, meta: DataFrame, commits: DataFrame, root: str) -> None:
     """Rows, then metadata, then commit markers: a reader that asks for a complete marker sees all that it covers.
 
-    A failure at any step leaves no marker, and the next run writes the same keys again.
+    A failure at any step leaves no marker, and the next run writes the same keys again. Tables are partitioned by day, so that
+    a commit touches the days of its buckets and no more.
     """
-    upsert(rows, f"{root}/rows", ["ts", "family", "entity_kind", "entity"])
-    upsert(meta, f"{root}/meta", ["ts", "family", "entity_kind"])
-    upsert(commits, f"{root}/commits", ["ts"])
+    for table, name, keys in ((rows, "rows", ["ts", "family", "entity_kind", "entity"]), (meta, "meta", ["ts", "family", "entity_kind"]), (commits, "commits", ["ts"])):
+        upsert(table.withColumn("day", F.floor(F.col("ts") / DAY_MS)), f"{root}/{name}", keys, "day")
 
 
 def committed(spark: SparkSession, root: str) -> DataFrame:
     """Rows of buckets whose marker says complete."""
     done = spark.read.parquet(f"{root}/commits").where("complete").select("ts")
-    return spark.read.parquet(f"{root}/rows").join(done, "ts", "left_semi")
+    return spark.read.parquet(f"{root}/rows").join(done, "ts", "left_semi").drop("day")
 
 
 def retain(spark: SparkSession, path: str, keep: Column) -> None:

@@ -48,25 +48,34 @@ def upsert_each(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     return lambda batch, _: sinks.upsert(batch, path, keys)
 
 
-def rollup_each(root: str, bucket_ms: int, back_fill: int = rollup.BACK_FILL) -> Callable[[DataFrame, int], None]:
-    """A batch function that appends records, then rolls the last buckets again and commits them, rows first.
+def rollup_each(root: str, bucket_ms: int, back_fill: int = rollup.BACK_FILL, back_ms: int = sinks.DAY_MS) -> Callable[[DataFrame, int], None]:
+    """A batch function that keeps records, then rolls the last buckets again, imputes silence and commits them, rows first.
 
-    That is back-fill: late records within the last `back_fill` buckets are counted, unlike with a watermark.
+    That is back-fill: late records within the last `back_fill` buckets are counted, unlike with a watermark. A batch's records stand in a
+    folder of its own number, so a batch that runs twice replaces what it wrote. Of records and of committed rows only the
+    days that the buckets and the look-back touch are read.
     """
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.persist()
-        sinks.append(batch, f"{root}/events")
+        day = F.floor(F.col("collector_ms") / sinks.DAY_MS)
+        batch.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{root}/events/batch={number}")
         touched = batch.agg(F.min("collector_ms"), F.max("collector_ms")).first()
-        batch.unpersist()
         if touched[0] is None:
             return
         first = max(touched[0], touched[1] - (back_fill - 1) * bucket_ms) // bucket_ms * bucket_ms
-        recent = spark.read.parquet(f"{root}/events").where(F.col("collector_ms") >= first)
-        rows = rollup.roll(recent, bucket_ms)
-        meta = rollup.meta(rows, rows)
+        recent = spark.read.parquet(f"{root}/events").where((F.col("day") >= first // sinks.DAY_MS) & (F.col("collector_ms") >= first)).drop("day", "batch")
+        spoken = rollup.roll(recent, bucket_ms)
+        known = spoken
+        if sinks.exists(spark, f"{root}/rows"):
+            earlier = spark.read.parquet(f"{root}/rows").where((F.col("day") >= (first - back_ms) // sinks.DAY_MS) & (F.col("ts") >= first - back_ms) & (F.col("ts") < first) & ~F.col("imputed"))
+            known = spoken.unionByName(earlier.drop("day"))
+        staged = f"{root}/staged-{number}"  # computed once, and free of the tables that the commit replaces
+        spoken.unionByName(rollup.impute(known, bucket_ms, back_ms).where(F.col("ts") >= first)).write.mode("overwrite").parquet(staged)
+        rows = spark.read.parquet(staged)
+        meta = rollup.meta(rows, rows.where("not imputed"))
         sinks.commit_bucket(rows, meta, rollup.commits(meta), root)
+        sinks.remove(spark, staged)
 
     return each
 

@@ -96,6 +96,41 @@ def test_stream_rollup_counts_late_rows(spark, tmp_path):
     assert [(r.ts, r.doc_count) for r in got] == [(0, 2), (600_000, 1)]
 
 
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    """Batch 0 runs twice, and batch 1, which brings silence, twice as well: counts, imputed rows and markers stay."""
+    root, minutes = str(tmp_path / "out"), 60_000
+    each = jobs.rollup_each(root, 10 * minutes)
+    first = spark.createDataFrame([(minutes * k, "local", "ab"[k % 2], "n1", "info", 1, 2) for k in range(10)], EVENTS)
+    second = spark.createDataFrame([(minutes * k, "local", "a", "n1", "info", 1, 2) for k in range(10, 20)], EVENTS)
+    for number, batch in ((0, first), (0, first), (1, second), (1, second)):
+        each(batch, number)
+    got = sorted((r.ts, r.entity, r.doc_count, r.imputed) for r in sinks.committed(spark, root).where("entity_kind = 'host'").collect())
+    assert got == [(0, "a", 5, False), (0, "b", 5, False), (600_000, "a", 10, False), (600_000, "b", 0, True)]
+    assert spark.read.parquet(f"{root}/events").count() == 20
+
+
+def test_upsert_keeps_the_latest_and_touches_its_partitions(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "p")
+    sinks.upsert(spark.createDataFrame([(1, 1, 5, "old"), (1, 1, 9, "new"), (2, 2, 1, "x")], "k int, part int, at int, v string"), path, ["k"], "part", "at")
+    before = {f: os.path.getmtime(f"{path}/part=2/{f}") for f in os.listdir(f"{path}/part=2")}
+    sinks.upsert(spark.createDataFrame([(1, 1, 10, "newer")], "k int, part int, at int, v string"), path, ["k"], "part", "at")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "newer"), (2, "x")]
+    assert before == {f: os.path.getmtime(f"{path}/part=2/{f}") for f in os.listdir(f"{path}/part=2")}
+
+
+def test_a_crash_between_renames_is_mended(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "a")], "k int, v string")
+    sinks.upsert(rows, path, ["k"])
+    os.rename(path, f"{path}.old")
+    sinks.upsert(spark.createDataFrame([(2, "b")], "k int, v string"), path, ["k"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "b")]
+
+
 def test_stream_windows_and_duplicates(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id AS int)) AS ts, id % 2 AS k, id FROM range(60)").write.parquet(source)

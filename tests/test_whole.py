@@ -29,7 +29,7 @@ def test_members_of_all_notifications(spark, events):
         by_id.setdefault(i, set()).add(note)
         by_episode.setdefault(episode, set()).add(note)
     want = {(note, r[0]) for r in rows for note in by_id.get(r[0], set()) | by_episode.get(r[1], set())}
-    got = [(r.note, r.signal) for r in QUERIES["notification_membership_whole"](spark, sf).collect()]
+    got = [(r.note, r.signal) for r in QUERIES["notification_membership"](spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want and max(s for _, s in got) > 2002
 
 
@@ -46,16 +46,15 @@ def test_causes_of_all_firing_episodes(spark, events):
                 found[cause] = min(ids)
         if found:
             want[incident] = (",".join(sorted(found)), ",".join(found[c] for c in sorted(found)))
-    got = {r.incident_id: (r.causes, r.cause_ids) for r in QUERIES["causal_candidates_whole"](spark, sf).collect()}
+    got = {r.incident_id: (r.causes, r.cause_ids) for r in QUERIES["causal_candidates"](spark, sf).collect()}
     assert got == want and any(int(i[1:]) >= 3000 for i in got)
 
 
 def test_searches_return_every_match_in_order(spark, events):
     sf, rows = events
     want = [r[0] for r in reversed(rows) if r[2] == "error"]
-    assert [r.event_id for r in QUERIES["search_errors_all"](spark, sf).collect()] == want and len(want) > 100
-    every = {n for n in QUERIES if n.startswith("search_") and n.removesuffix("_all") in QUERIES}
-    assert {f"{n}_all" for n in ORACLES if "LIMIT 100" in ORACLES[n]} <= every
+    assert [r.event_id for r in QUERIES["search_errors"](spark, sf).collect()] == want and len(want) > 100
+    assert not any("LIMIT" in sql for name, sql in ORACLES.items() if name.startswith("search_"))
 
 
 @pytest.fixture(scope="module")
@@ -74,7 +73,7 @@ def test_searches_over_signals_alerts_and_episodes(spark, orders):
     assert got == [f"a{r[0]}" for r in sorted(active, key=lambda r: (-r[3].timestamp(), f"a{r[0]}"))]
     known = [r for r in rows if r[0] % 5 != 4]
     assert QUERIES["search_signals_all"](spark, sf).count() == len(known) > 100
-    assert QUERIES["search_signals_firing_all"](spark, sf).count() == len([r for r in known if r[2] != "F"]) > 100
+    assert QUERIES["search_signals_firing"](spark, sf).count() == len([r for r in known if r[2] != "F"]) > 100
     history = QUERIES["search_episodes_history"](spark, sf).collect()
     opened = QUERIES["search_episodes_open"](spark, sf).collect()
     resolved = QUERIES["search_episodes_resolved"](spark, sf).collect()
@@ -89,7 +88,7 @@ def test_every_incident_has_its_order(spark, orders):
     for k, customer, status, day in sorted(rows, key=lambda r: (r[3], r[1] % 1000, r[2] == "F", f"a{r[0]}")):
         bucket = None if k % 13 == 0 else f"node-{customer % 40 + 1:03d}"
         want.setdefault((names[k % 5], bucket), []).append(f"a{k}")
-    got = {(r.monitor_name, r.bucket_key): r.ids.split(",") for r in QUERIES["lifecycle_sort_whole"](spark, sf).collect()}
+    got = {(r.monitor_name, r.bucket_key): r.ids.split(",") for r in QUERIES["lifecycle_sort"](spark, sf).collect()}
     assert got == want and len({b for _, b in got}) > 1
 
 
@@ -98,7 +97,7 @@ def test_heartbeats_of_all_samples_count(spark, tmp_path):
     now = dt.datetime(2024, 1, 30)
     rows = [(10, 0, "view", 1.0, now), (11, 1, "click", 1.0, now), (9, 12, "view", 1.0, now - dt.timedelta(days=9))]
     spark.createDataFrame([(*r, '{"k": 1}') for r in rows], "event_id long, user_id long, event_type string, value double, ts timestamp_ntz, props string").write.parquet(f"{tmp_path}/events.parquet")
-    got = {r.collector_id: (r.missing, r.age_ms) for r in QUERIES["heartbeat_absence_whole"](spark, str(tmp_path)).collect()}
+    got = {r.collector_id: (r.missing, r.age_ms) for r in QUERIES["heartbeat_absence"](spark, str(tmp_path)).collect()}
     assert got["node-01"] == (0, 86_400_000) and got["node-03"] == (1, None)
 
 
@@ -106,10 +105,10 @@ def test_fifty_hosts_are_no_truncated_cohort(spark, tmp_path):
     """More hosts a family than the old cap of 45 and fewer than that of production."""
     rows = [(k, k % 180, "click", 1.0, START + dt.timedelta(days=25, minutes=k), '{"k": 1}') for k in range(180)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp_ntz, props string").write.parquet(f"{tmp_path}/events.parquet")
-    meta = QUERIES["rollup_meta_whole"](spark, str(tmp_path)).where("entity_kind = 'host'").collect()
+    meta = QUERIES["rollup_meta"](spark, str(tmp_path)).where("entity_kind = 'host'").collect()
     assert {r.entity_count for r in meta} == {60} and not any(r.truncated for r in meta)
-    assert QUERIES["rollup_commit_whole"](spark, str(tmp_path)).first().complete
-    stale = QUERIES["monitor_trend_rollup_stale_whole"](spark, str(tmp_path)).first()
+    assert QUERIES["rollup_commit"](spark, str(tmp_path)).first().complete
+    stale = QUERIES["monitor_trend_rollup_stale"](spark, str(tmp_path)).first()
     assert (stale.n, stale.n_recent, stale.fires) == (1, 0, True)
     from skerry.operators import rollup
     from skerry.plans import rollups
