@@ -88,6 +88,25 @@ def detectors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(DETECTORS), DETECTOR_SCHEMA)
 
 
+def presentation(spark: SparkSession) -> DataFrame:
+    """alertname, title, diagnosis and action of every rule and detector, said from its own declaration; {entity} is the entity's place."""
+    from skerry.operators.detection import DETECTORS as read
+    from skerry.operators.monitors import RULES
+
+    rules, kinds = {r.name: r for r in RULES}, {n: k for n, k, *_ in MONITORS}
+    look = {"fleet-fb": "the collector's service, buffers and network path", "control-plane": "the node's disk, heap and load", "self": "the pipeline's own services", "logs": "the producers and the collectors' queues", "anomaly": "the detector's feature values"}
+    rows = []
+    for name, kind, family, _, feed, *_ in MONITORS:
+        words = name.replace("-", " ")
+        rule = rules.get(name)
+        why = f"({rule.fires}) held over {rule.minutes} minutes" if rule else "its baseline was left for several buckets" if name.startswith("trend-") else "the rule's condition held"
+        rows.append((name, f"{words[0].upper()}{words[1:]} ({kinds[name].replace('_', ' ')})", f"{{entity}}: {why}" + (f", family {family}." if family != NONE else "."), f"Check {look[feed]} of {{entity}}."))
+    for d in read:
+        words = d.name.replace("-", " ")
+        rows.append((d.name, f"Unusual {words}", f"{{entity}}: {', '.join(d.features)} left the learned range in {d.minutes}-minute intervals.", "Read the detector's features and their direction before escalating."))
+    return spark.createDataFrame(rows, "alertname string, title string, diagnosis string, action string")
+
+
 def edges(spark: SparkSession) -> DataFrame:
     rows = [(cause, symptom, list(keys), None, False, k + 1) for k, (cause, (keys, symptoms)) in enumerate(CAUSES.items()) for symptom in symptoms]
     return spark.createDataFrame(rows, "cause string, symptom string, equal array<string>, probability double, proven boolean, promotion_order int")

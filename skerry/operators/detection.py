@@ -44,9 +44,14 @@ FAST = (
 DETECTORS = FAST + tuple(Detector(f"{d.name}-slow", d.source, d.where, d.entity, d.features, 30, d.delay, d.zero) for d in FAST[3:])
 
 
-def feature_rows(d: Detector, rows: DataFrame, time: str, scale: int = 1) -> DataFrame:
-    """window_ms, entity and the features of each interval that has samples."""
+def feature_rows(d: Detector, rows: DataFrame, time: str, scale: int = 1, as_of: int | None = None) -> DataFrame:
+    """window_ms, entity and the features of each interval that has samples; with as_of, of those that are due by then.
+
+    An interval is due once the detector's delay has passed after its end, so that late samples are in.
+    """
     width = d.minutes * 60_000 * scale
+    if as_of is not None:
+        rows = rows.where(F.col(time) < due(d, as_of, scale))
     window = (F.floor(F.col(time) / width) * width).alias("window_ms")
     entity = (F.col(d.entity) if d.entity else F.lit("all")).alias("entity")
     features = [F.round(F.expr(e).cast("double"), 6).alias(n) for n, e in d.features.items()]
@@ -54,6 +59,12 @@ def feature_rows(d: Detector, rows: DataFrame, time: str, scale: int = 1) -> Dat
     return (some.where(F.col(d.entity).isNotNull()) if d.entity else some).groupBy(window, entity).agg(*features)
 
 
+def due(d: Detector, as_of: int, scale: int = 1) -> int:
+    """The end of the last interval that is due."""
+    width = d.minutes * 60_000 * scale
+    return (as_of - d.delay * 60_000 * scale) // width * width
+
+
 def imputed(d: Detector, features: DataFrame, scale: int = 1) -> DataFrame:
     """Features with a zero row for each interval that an entity missed between its first and its last; only for detectors that impute."""
     if not d.zero:

@@ -56,6 +56,15 @@ def sequence_gaps(df: DataFrame, column: str, keys: Sequence[str], order: Order)
     return df.withColumn("gap", F.greatest(F.coalesce(F.col(column) - seen - 1, F.lit(0)), F.lit(0))).withColumn("duplicate", F.coalesce(F.col(column) <= seen, F.lit(False)))
 
 
+def epoch_gaps(df: DataFrame, column: str, epoch: str, keys: Sequence[str], order: Order) -> DataFrame:
+    """sequence_gaps() where a new epoch starts the numbers over: its first row has an `unknown` gap, not a number."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    turned = F.coalesce(F.col(epoch) != F.lag(epoch).over(w), F.lit(False))
+    runs = df.withColumn("unknown", turned).withColumn("run_", F.sum(F.col("unknown").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    got = sequence_gaps(runs, column, [*keys, "run_"], order)
+    return got.withColumn("gap", F.when(~F.col("unknown"), F.col("gap"))).drop("run_")
+
+
 def shift_clock(df: DataFrame, column: str, now_ms: int) -> DataFrame:
     """All clocks moved so that the earliest is now; the minimum is one row, joined to all."""
     first = df.agg(F.min(column).alias("first_ms"))

@@ -9,7 +9,7 @@ from skerry.functions import parsing as p
 from skerry.operators import aggregates as a
 from skerry.operators import evaluation as v
 from skerry.operators import quality
-from skerry.plans.projection import SIGNALS_SQL, monitor_episodes, signals
+from skerry.plans.projection import FOLD_SQL, SIGNALS_SQL, monitor_episodes, signals
 from skerry.plans.registry import query
 from skerry.session import AS_OF, DAY
 from skerry.sources.adapters import ALERTS, LOG, METRICS, ROSTER, alerts, log_events, metric_samples, roster, table
@@ -122,7 +122,7 @@ def search_alerts_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _episodes(name: str, where: str, latest: str) -> None:
-    @query(f"search_episodes_{name}")
+    @query(f"search_episodes_{name}", f"{FOLD_SQL} SELECT episode_id, incident_id, severity, episode_state, opened_at, last_seen, resolved_at FROM episodes WHERE {where} ORDER BY {latest} DESC, episode_id")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """A saved search over the episodes of monitors, the latest first."""
         return monitor_episodes(spark, sf_dir).where(where).select("episode_id", "incident_id", "severity", "episode_state", "opened_at", "last_seen", "resolved_at").orderBy(F.desc(latest), "episode_id")

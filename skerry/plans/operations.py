@@ -74,11 +74,6 @@ def gate_imputed_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("n <> a or a <> b").select("ts", "family", "entity_kind")
 
 
-@query("gate_category_agreement", M + "SELECT collector_id, os_node, count(*)::BIGINT AS n FROM metric_samples WHERE kind = 'node' GROUP BY ALL HAVING count(*) < 3")
-def gate_category_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metric_samples(spark, sf_dir).where("kind = 'node'").groupBy("collector_id", "os_node").agg(F.count("*").alias("n")).where("n < 3")
-
-
 @query("gate_sample_gaps", M + f"SELECT kind, from_ms, ts AS until_ms, (ts - from_ms) // {DAY // 4} AS missing FROM (SELECT kind, ts, lag(ts) OVER (PARTITION BY kind ORDER BY ts) AS from_ms FROM metric_samples) WHERE ts - from_ms > {DAY // 4}")
 def gate_sample_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skerry.operators import quality

@@ -45,24 +45,62 @@ def anomaly_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.anomaly_signals(_results(spark, sf_dir), catalog.detectors(spark)).select("source_id", "alertname", "entity_id", "window_ms", "state", "grade")
 
 
-@query("monitor_episodes")
+#: The fold as a recursion, a step a row of each incident in time order.
+FOLD_SQL = f"""WITH RECURSIVE {SIGNALS_SQL},
+  r AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY first_seen, last_seen, (state <> 'firing')::INTEGER, source_id) AS k, coalesce(end_time, last_seen) AS cleared FROM signals),
+  f AS (SELECT incident_id, k, 1 AS run, first_seen AS opened_at, last_seen, severity, state = 'resolved' AS clears, healthy_required AS need,
+      CASE WHEN state = 'resolved' AND cleared > 0 THEN 1 ELSE 0 END AS healthy, CASE WHEN state = 'resolved' THEN greatest(cleared, 0) ELSE 0 END AS last, CASE WHEN state = 'resolved' THEN cleared END AS resolved_at,
+      CASE WHEN state = 'resolved' AND healthy_required <= 1 THEN cleared END AS closed, [source_id] AS members FROM r WHERE k = 1
+    UNION ALL SELECT r.incident_id, r.k, n.run, n.opened_at, greatest(n.last_seen, r.last_seen), CASE WHEN r.severity = 'page' THEN 'page' ELSE n.severity END, r.state = 'resolved', f.need,
+      CASE WHEN r.state = 'resolved' THEN n.healthy + (r.cleared > n.last)::INTEGER ELSE 0 END, CASE WHEN r.state = 'resolved' THEN greatest(n.last, r.cleared) ELSE 0 END, CASE WHEN r.state = 'resolved' THEN r.cleared END,
+      CASE WHEN r.state <> 'resolved' THEN NULL WHEN n.healthy + (r.cleared > n.last)::INTEGER >= f.need THEN greatest(coalesce(n.closed, r.cleared), r.cleared) ELSE n.closed END, list_append(n.members, r.source_id)
+    FROM f JOIN r ON r.incident_id = f.incident_id AND r.k = f.k + 1,
+      LATERAL (SELECT f.closed IS NOT NULL AND r.first_seen > f.closed AS fresh) z,
+      LATERAL (SELECT f.run + z.fresh::INTEGER AS run, CASE WHEN z.fresh THEN r.first_seen ELSE f.opened_at END AS opened_at, CASE WHEN z.fresh THEN 0 ELSE f.last_seen END AS last_seen, CASE WHEN z.fresh THEN r.severity ELSE f.severity END AS severity,
+        CASE WHEN z.fresh THEN 0 ELSE f.healthy END AS healthy, CASE WHEN z.fresh THEN 0 ELSE f.last END AS last, CASE WHEN NOT z.fresh THEN f.closed END AS closed, CASE WHEN z.fresh THEN [] ELSE f.members END AS members) n),
+  done AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY incident_id, run ORDER BY k DESC) = 1),
+  episodes AS (SELECT incident_id, incident_id || '.' || opened_at AS episode_id, opened_at, last_seen, CASE WHEN healthy >= need THEN resolved_at END AS resolved_at, CASE WHEN healthy >= need THEN 'RESOLVED' WHEN healthy > 0 THEN 'RECOVERING' ELSE 'OPEN' END AS episode_state,
+    CASE WHEN healthy >= need THEN 'resolved' ELSE 'firing' END AS state, severity, healthy::INTEGER AS healthy_windows, members[1:{j.MAX_MEMBERS}] AS members, len(members) > {j.MAX_MEMBERS} AS truncated FROM done)"""
+
+
+@query("monitor_episodes", f"{FOLD_SQL} SELECT * FROM episodes")
 def monitor_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes of monitor signals with each monitor's own hysteresis."""
     return j.monitor_episodes(signals(spark, sf_dir))
 
 
-@query("detector_episodes")
+_DET = "detectors(alertname, entity_kind, healthy_required) AS (VALUES " + ", ".join(f"('{n}', '{k}', {h})" for n, k, _, _, _, _, h in catalog.DETECTORS) + ")"
+_DETECTOR_FOLD = f"""WITH RECURSIVE {_ANOM}, {_DET},
+  s AS (SELECT source_id, window_ms, CASE WHEN g > 0.5 THEN 'firing' ELSE 'evidence' END AS state, round(g, 4) AS grade, healthy_required AS need,
+    substr(sha256('{{"alertname":"' || alertname || '","entity_id":"' || entity_id || '","entity_kind":"' || entity_kind || '","scope":"' || CASE WHEN entity_kind = 'collector' THEN entity_id ELSE 'fleet' END || '","source_kind":"detector"}}'), 1, 32) AS incident_id
+    FROM anomalies JOIN detectors USING (alertname) WHERE g IS NOT NULL AND entity_id IS NOT NULL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY window_ms, state, source_id) AS k FROM s),
+  f AS (SELECT incident_id, 0::BIGINT AS k, 0 AS run, NULL::BIGINT AS opened_at, NULL::BIGINT AS last_seen, NULL::BIGINT AS resolved_at, 'NONE' AS st, 0 AS healthy, 0::BIGINT AS breach, 0::BIGINT AS calm, 0.0::DOUBLE AS worst, []::VARCHAR[] AS members FROM r WHERE k = 1
+    UNION ALL SELECT r.incident_id, r.k, n.run, n.opened_at,
+      CASE WHEN z.hit THEN greatest(n.last_seen, r.window_ms) ELSE n.last_seen END, CASE WHEN z.hit THEN NULL WHEN z.heals AND n.healthy + 1 >= r.need THEN r.window_ms ELSE n.resolved_at END,
+      CASE WHEN z.hit THEN 'OPEN' WHEN z.heals THEN CASE WHEN n.healthy + 1 >= r.need THEN 'RESOLVED' ELSE 'RECOVERING' END ELSE n.st END,
+      CASE WHEN z.hit THEN 0 WHEN z.heals THEN n.healthy + 1 ELSE n.healthy END, CASE WHEN z.hit THEN r.window_ms ELSE n.breach END, CASE WHEN z.hit THEN 0 WHEN z.heals THEN r.window_ms ELSE n.calm END,
+      CASE WHEN n.st = 'NONE' THEN n.worst ELSE greatest(n.worst, r.grade) END, CASE WHEN z.hit THEN list_append(n.members, r.source_id) ELSE n.members END
+    FROM f JOIN r ON r.incident_id = f.incident_id AND r.k = f.k + 1,
+      LATERAL (SELECT r.state = 'firing' AND (f.st = 'NONE' OR (f.st = 'RESOLVED' AND r.window_ms > f.resolved_at)) AS fresh, f.st = 'RESOLVED' AND r.window_ms > f.resolved_at AS over) q,
+      LATERAL (SELECT f.run + q.fresh::INTEGER AS run, CASE WHEN q.fresh THEN r.window_ms ELSE f.opened_at END AS opened_at, CASE WHEN q.fresh THEN r.window_ms ELSE f.last_seen END AS last_seen, CASE WHEN NOT q.fresh THEN f.resolved_at END AS resolved_at, CASE WHEN q.fresh THEN 'OPEN' ELSE f.st END AS st,
+        CASE WHEN q.fresh THEN 0 ELSE f.healthy END AS healthy, CASE WHEN q.fresh THEN 0 ELSE f.breach END AS breach, CASE WHEN q.fresh THEN 0 ELSE f.calm END AS calm, CASE WHEN q.fresh THEN 0.0 ELSE CASE WHEN q.over THEN f.worst ELSE f.worst END END AS worst, CASE WHEN q.fresh THEN [] ELSE f.members END AS members, q.over AND NOT q.fresh AS idle) n,
+      LATERAL (SELECT n.st <> 'NONE' AND NOT n.idle AND r.state = 'firing' AND r.window_ms > n.breach AS hit, n.st NOT IN ('NONE', 'RESOLVED') AND r.state = 'evidence' AND r.grade <= 0 AND r.window_ms > greatest(n.calm, n.breach) AS heals) z),
+  done AS (SELECT * FROM f WHERE run > 0 QUALIFY row_number() OVER (PARTITION BY incident_id, run ORDER BY k DESC) = 1)"""
+
+
+@query("detector_episodes", f"{_DETECTOR_FOLD} SELECT incident_id, incident_id || '.' || opened_at AS episode_id, opened_at, last_seen, resolved_at, st AS episode_state, CASE WHEN st = 'RESOLVED' THEN 'resolved' ELSE 'firing' END AS state, healthy::INTEGER AS healthy_windows, breach AS last_breach_window, calm AS last_healthy_window, worst AS worst_grade, members[1:{j.MAX_MEMBERS}] AS members, len(members) > {j.MAX_MEMBERS} AS truncated FROM done")
 def detector_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.detector_episodes(j.anomaly_signals(_results(spark, sf_dir), catalog.detectors(spark)))
 
 
-_EP = f"""{SIGNALS_SQL}, eps AS (SELECT incident_id, alertname, any_value(entity_id) AS entity_id, any_value(entity_kind) AS entity_kind, any_value(class) AS class, 'logs/' || alertname || '/' || scope_label AS group_id, bool_or(state = 'firing') AS fires, min(first_seen) AS opened_at, max(last_seen) AS last_seen, count(DISTINCT source_id)::BIGINT AS member_count FROM signals GROUP BY incident_id, alertname, scope_label)"""
+_EP = f"""{SIGNALS_SQL}, eps AS (SELECT incident_id, alertname, any_value(entity_id) AS entity_id, any_value(entity_kind) AS entity_kind, min(class) AS class, 'logs/' || alertname || '/' || scope_label AS group_id, bool_or(state = 'firing') AS fires, min(first_seen) AS opened_at, max(last_seen) AS last_seen, count(DISTINCT source_id)::BIGINT AS member_count FROM signals GROUP BY incident_id, alertname, scope_label)"""
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an incident: its extent, members and whether any signal fires."""
     rows = signals(spark, sf_dir).groupBy("incident_id", "alertname", "group_id").agg(
-        F.any_value("entity_id").alias("entity_id"), F.any_value("entity_kind").alias("entity_kind"), F.any_value("class").alias("class"),
+        F.any_value("entity_id").alias("entity_id"), F.any_value("entity_kind").alias("entity_kind"), F.min("class").alias("class"),
         F.bool_or(F.col("state") == "firing").alias("fires"), F.min("first_seen").alias("opened_at"), F.max("last_seen").alias("last_seen"), F.count_distinct("source_id").alias("member_count"),
     )
     return rows.withColumn("state", F.when(F.col("fires"), "firing").otherwise("resolved"))

@@ -25,6 +25,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries and their SQL."""
-    from skerry.plans import aggregation, detection, evaluation, joining, operations, ordering, parsing, projection, rollups, rules  # noqa: F401
+    from skerry.plans import aggregation, detection, evaluation, intake, joining, operations, ordering, parsing, projection, reports, rollups, rules  # noqa: F401
 
     return QUERIES, ORACLES
