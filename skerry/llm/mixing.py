@@ -116,7 +116,7 @@ def _balanced(rows: DataFrame) -> DataFrame:
         p, size = table["p"].to_numpy()[order].copy(), table["size"].to_numpy()[order].astype(float)
         rng = np.random.default_rng(key[0].as_py() & 0xFFFFFFFFFFFFFFFF)
         stop = max(3, len(p) - LANDING) if last else len(p)
-        settle_long(p, size, rng, min(LONG, stop))
+        settle_long(p, size, rng, min(LONG, stop, len(p)))
         flight(p[:stop], size[:stop], rng)
         if last:
             land(p, size, rng)

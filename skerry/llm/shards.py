@@ -86,10 +86,17 @@ def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "
 
 
 def shard_column(docs: DataFrame, shards: int = 16, key: str = "doc_id", name: str = "shard") -> DataFrame:
-    """docs with the shard of each row as one more column (replacing one of that name)."""
+    """docs with the shard of each row as one more column; where docs has a column of that name it stays, and the new one gets underscores.
+
+    Rows without a key share a shard, repeated rows stay as they are, and an empty table gives an empty one; texts aren't read.
+    """
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
     return docs.withColumn(name, jump_shard(F.col(key), shards))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id") -> None:
     """Write docs as Parquet under path/shard=N/."""
-    shard_column(docs, shards, key).write.partitionBy("shard").parquet(path)
+    marked = shard_column(docs, shards, key)
+    marked.write.partitionBy(marked.columns[-1]).parquet(path)

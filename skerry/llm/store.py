@@ -3,57 +3,20 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skerry.sources.shared import delete, home, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, a local session gets one of its own, and any other is refused.
-
-    A folder of one machine is a shared one only while driver and executors are one process.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="skerry-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-_MARKED: set[str] = set()
-
-
-def _home(spark: SparkSession) -> str:
-    """This application's folder; it is deleted when the driver's JVM ends."""
-    home = f"{shared_dir(spark)}/skerry-{spark.sparkContext.applicationId}"
-    if home not in _MARKED:
-        files, at = _file_system(spark, home)
-        files.mkdirs(at)
-        files.deleteOnExit(at)
-        _MARKED.add(home)
-    return home
-
+__all__ = ["clear", "scratch", "shared_dir", "written"]
 
 #: The tables of the scratch() that a thread is in, if any.
 _SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    files, at = _file_system(spark, path)
-    files.delete(at, True)
-
-
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that this thread writes inside are deleted at the end; what is to outlive them is written with keep, or after."""
@@ -64,13 +27,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _SCOPE.reset(token)
         for path in made:
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application has written; DataFrames that read them are no longer of use."""
-    _delete(spark, _home(spark))
-    _MARKED.discard(_home(spark))
+    delete(spark, home(spark))
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -80,7 +42,7 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     keep: it outlives a scratch() as well.
     """
     spark = df.sparkSession
-    path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{home(spark)}/{name}-{uuid.uuid4().hex}"
     scope = _SCOPE.get()
     if scope is not None and not keep:
         scope.append(path)

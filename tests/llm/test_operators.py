@@ -600,6 +600,30 @@ def test_kept_text(spark):
     assert got(out, "doc_id", "n_removed", "text") == [(1, 40, "a b"), (2, 40, ""), (3, 0, "c")]
 
 
+def test_rows_without_ids_and_rows_that_share_one(spark, passage):
+    """Null and repeated doc_ids, null and empty texts, and columns with the operators' own names: each row is judged by itself."""
+    mail = "write to ann@site.org or call +1 (555) 010-7788 " + passage
+    texts = [(None, passage), (None, "a b"), (None, None), (7, passage), (7, passage), (7, mail), (8, ""), (9, None)]
+    rows = [(d, t, "en", "s", 1, "o", "f", "v", 2, "n", "sh", "h", "t") for d, t in texts]
+    docs = spark.createDataFrame(rows, CLASH).repartition(3)
+    order = lambda xs: sorted(xs, key=repr)
+    many = lambda df, *columns: order(tuple(r[c] for c in columns) for r in df.collect())
+    bench = [("b", " ".join(passage.split()[5:30]))]
+    items = spark.createDataFrame(bench, "item_id string, text string")
+    assert many(contamination.report(docs, items), *CONTAMINATION) == order(brute.contamination(texts, bench))
+    assert contamination.decontaminate(docs, items).columns == docs.columns
+    assert many(substrings.report(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == order(brute.without_repeats(texts, 35))
+    assert many(suffixes.spans(docs), "doc_id", "start", "end", "n_words") == order(brute.repeated_spans(texts, 50))
+    assert many(rules.measure(docs), *RULES) == order((d, *brute.measures(t)) for d, t in texts)
+    assert rules.filtered(docs).columns == docs.columns
+    assert many(pii.report(docs), *PII) == order(_personal(d, t) for d, t in texts)
+    assert pii.redacted(docs).columns == docs.columns
+    found = langid.report(docs)
+    assert many(found, "doc_id", "held_out") == order((d, zlib.crc32(("" if d is None else str(d)).encode()) % 4 == 2) for d, _ in texts)
+    assert shards.shard_column(docs).columns == [*docs.columns, "shard_"] and shards.assign(docs, 4).count() == len(texts)
+    assert mixing.report(docs).count() == len(texts) and mixing.mixed(docs).columns == docs.columns
+
+
 def test_words_of_columns():
     w = textkit.words(pa.array(["  a\x0bb", None, "", "c"]))
     assert w.counts.tolist() == [2, 0, 0, 1] and len(set(w.hash.tolist())) == 3
