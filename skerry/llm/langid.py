@@ -176,14 +176,16 @@ def _place() -> Column:
 
 
 def _cuts(pool: DataFrame, rows: int) -> tuple[DataFrame, float]:
-    """lang and cut: rows whose place is below it may be in the sample, all others calibrate; and the share of rows of any language.
+    """lang, few and cut, and the share of rows of any language: what hashed places are the sample's.
 
-    A fifth is left to calibrate, of each language that has more rows than LANGUAGE_ROWS.
+    Rows whose place is below `cut` may be in the sample, all others calibrate; below `few` lie twice LANGUAGE_ROWS rows of each
+    language, as far as there are any. A fifth is left to calibrate, of each language that has more rows than LANGUAGE_ROWS.
     """
     sizes = {r["lang"]: r["count"] for r in pool.groupBy("lang").count().collect()}
     share = min(0.8, 1.2 * rows / max(1, sum(sizes.values())))
-    cuts = [(lang, _TOP if n <= LANGUAGE_ROWS else int(max(share, min(0.8, 2 * LANGUAGE_ROWS / n)) * _TOP) + 1) for lang, n in sizes.items()]
-    return F.broadcast(pool.sparkSession.createDataFrame(cuts, "lang string, cut long")), share
+    few = {lang: 1.0 if n <= LANGUAGE_ROWS else min(0.8, 2 * LANGUAGE_ROWS / n) for lang, n in sizes.items()}
+    cuts = [(lang, int(f * _TOP) + 1, int(max(f, share) * _TOP) + 1) for lang, f in few.items()]
+    return F.broadcast(pool.sparkSession.createDataFrame(cuts, "lang string, few long, cut long")), share
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
@@ -198,11 +200,11 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) ->
     # a hash picks about the rows wanted, so what is sorted and what tasks send to the driver doesn't grow with their number
     most, share = _cuts(pool, rows)
     picked = pool.join(most, "lang").where(_place() < F.col("cut"))
-    pieces = picked.select("doc_id", "lang", F.expr("text").substr(offset.cast("int") + 1, F.lit(chars)).alias("text"), order.alias("h"), (_place() < F.lit(int(share * _TOP) + 1)).alias("any"))
+    pieces = picked.select("doc_id", "lang", (_place() < F.col("few")).alias("few"), F.expr("text").substr(offset.cast("int") + 1, F.lit(chars)).alias("text"), order.alias("h"), (_place() < F.lit(int(share * _TOP) + 1)).alias("any"))
     by = ("h", "doc_id", "lang", "text")
     first = F.row_number().over(Window.partitionBy("lang").orderBy(*by))
     common = pieces.where("any").orderBy(*by).limit(rows).select(*by)
-    rare = pieces.withColumn("k", first).where(F.col("k") <= LANGUAGE_ROWS)
+    rare = pieces.where("few").withColumn("k", first).where(F.col("k") <= LANGUAGE_ROWS)
     found = {tuple(r[c] for c in by): None for r in common.collect()}
     found |= {tuple(r[c] for c in by): None for r in rare.select(*by).collect()}
     found = [(x[3], x[2]) for x in found]
@@ -268,6 +270,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return own.mapInArrow(run, T.StructType([own.schema["own"], T.StructField("found", T._parse_datatype_string("struct<lang_pred:string,score:double>"))]))
 
 
+def _floor(model: Model, scored: DataFrame) -> float:
+    return calibrate(scored) if model.floor is None else model.floor
+
+
+def _rejected(floor: float) -> Column:
+    return (F.col("found.lang_pred") == UNKNOWN) | (F.col("found.score") < floor)
+
+
 def judged(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """identify()'s columns and `rejected`: true for `und` and for scores under the calibrated floor; lang_pred stays the likeliest language.
 
@@ -276,11 +286,9 @@ def judged(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or fit(docs)
     found = identify(docs, model)
-    floor = model.floor
-    if floor is None:
+    if model.floor is None:
         found = written(found, "scored")
-        floor = calibrate(found.select("own.doc_id", "own.text", "own.lang", "found.lang_pred", "found.score"))
-    return found.withColumn("rejected", (F.col("found.lang_pred") == UNKNOWN) | (F.col("found.score") < floor))
+    return found.withColumn("rejected", _rejected(_floor(model, found.select("own.doc_id", "own.text", "own.lang", "found.lang_pred", "found.score"))))
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -289,6 +297,11 @@ def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def report(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and rejected of each row."""
-    found = judged(docs.select("doc_id", "text", "lang"), model)
-    return found.select("own.doc_id", (crc_fold(F.col("own.doc_id")) == 2).alias("held_out"), "found.lang_pred", "found.score", "rejected")
+    """doc_id, held_out, lang_pred, score and rejected of each row; texts are scored once, and not kept."""
+    model = model or fit(docs)
+    there = F.when(F.col("own.text").isNotNull(), F.lit(""))
+    found = identify(docs.select("doc_id", "text", "lang"), model).select("own.doc_id", "own.lang", there.alias("text"), "found")
+    if model.floor is None:
+        found = written(found, "scored")
+    floor = _floor(model, found.select("doc_id", "text", "lang", "found.lang_pred", "found.score"))
+    return found.select("doc_id", (crc_fold(F.col("doc_id")) == 2).alias("held_out"), "found.lang_pred", "found.score", _rejected(floor).alias("rejected"))
