@@ -61,13 +61,13 @@ def line_time(base_ms: Column, line_number: Column) -> Column:
 def epoch_ms(value: Column) -> Column:
     """Epoch milliseconds of a clock held as a number or written as seconds, milliseconds or ISO text; -1 if it can't be read.
 
-    Numbers below 1e11 are seconds, a fraction of which is dropped; text without a zone is UTC. A double's text has an
-    exponent from ten million on, so that form is read as well.
+    Numbers below 1e11 are seconds, a fraction of which is dropped; text without a zone is UTC. A double is written with an
+    exponent from ten million on, so of numbers that form is read as well; of text, what stands before a dot counts.
     """
     s = F.trim(value.cast("string"))
     digits = s.rlike(r"^\d[^-T ]*$")
     plain = F.try_to_number(F.regexp_extract(s, r"^(\d{1,18})(?:\..*)?$", 1), F.lit("9" * 18)).cast("long")
-    whole = F.when(s.rlike(r"^\d(?:\.\d+)?E\d{1,2}$"), s.try_cast("decimal(38,9)").try_cast("long")).otherwise(plain)
+    whole = F.when((F.typeof(value) != "string") & s.rlike(r"^\d(?:\.\d+)?E\d{1,2}$"), s.try_cast("decimal(38,9)").try_cast("long")).otherwise(plain)
     number = F.when(whole < 100_000_000_000, whole * 1000).otherwise(whole)
     text = F.unix_millis(F.try_to_timestamp(F.replace(s, F.lit(" "), F.lit("T"))))
     return F.when(digits, F.coalesce(number, F.lit(-1).cast("long"))).otherwise(F.coalesce(text, F.lit(-1).cast("long")))
