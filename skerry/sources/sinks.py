@@ -97,6 +97,29 @@ def create_only(rows: DataFrame, path: str, version: str, order: str) -> bool:
     return True
 
 
+def publish_roster(assignments: DataFrame, collectors: DataFrame, path: str, now_ms: int) -> str | None:
+    """Append a topology snapshot (a row an assignment) unless the one in force is the same; its version, or None if nothing was appended.
+
+    The version is a hash of the sorted content. A roster without collectors and an assignment to an unknown collector
+    are refused. collectors: collector_id; assignments: origin_host and collector_id.
+    """
+    spark = assignments.sparkSession
+    known = collectors.select("collector_id").where("collector_id is not null").distinct()
+    if known.isEmpty():
+        raise ValueError("a roster without collectors is never a valid publication")
+    unknown = sorted(r[0] for r in assignments.select("collector_id").subtract(known).limit(10).collect() if r[0])
+    if unknown:
+        raise ValueError(f"assignments name collectors outside the roster: {unknown}")
+    pairs = assignments.select("origin_host", "collector_id").distinct()
+    hosts = pairs.agg(F.array_sort(F.collect_list(F.struct("origin_host", "collector_id"))).alias("a"))
+    names = known.agg(F.array_sort(F.collect_list("collector_id")).alias("c"))
+    version = hosts.join(F.broadcast(names)).select(F.substring(F.sha2(F.to_json(F.struct("a", "c")), 256), 1, 32)).first()[0]
+    if exists(spark, path) and spark.read.parquet(path).agg(F.max_by("topology_version", "effective_from")).first()[0] == version:
+        return None
+    append(pairs.withColumn("topology_version", F.lit(version)).withColumn("effective_from", F.lit(now_ms).cast("long")), path)
+    return version
+
+
 def commit_bucket(rows: DataFrame, meta: DataFrame, commits: DataFrame, root: str) -> None:
     """Rows, then metadata, then commit markers: a reader that asks for a complete marker sees all that it covers.
 

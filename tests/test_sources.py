@@ -131,6 +131,99 @@ def test_a_crash_between_renames_is_mended(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "b")]
 
 
+def test_a_tail_reads_what_is_appended(spark, tmp_path):
+    """Lines come once each, an unfinished one only when it ends, and a file that was replaced from its start; a restart goes on."""
+    from skerry.sources import tail
+
+    a, b = tmp_path / "a.log", tmp_path / "b.log"
+    a.write_bytes("één\ntwo\nthr".encode())
+    seen = []
+
+    def start():
+        rows = tail.lines(spark, str(tmp_path / "*.log"))
+        return rows.writeStream.option("checkpointLocation", str(tmp_path / "check")).foreachBatch(lambda df, _: seen.extend((r.file.rpartition("/")[2], r.at, r.line) for r in df.collect())).start()
+
+    def settled(query):
+        query.processAllAvailable()
+        got = sorted(seen)
+        seen.clear()
+        return got
+
+    query = start()
+    assert settled(query) == [("a.log", 0, "één"), ("a.log", 6, "two")]
+    with a.open("ab") as f:
+        f.write(b"ee\n")
+    b.write_bytes(b"x\n")
+    assert settled(query) == [("a.log", 10, "three"), ("b.log", 0, "x")]
+    query.stop()
+    with a.open("ab") as f:
+        f.write(b"four\n")
+    query = start()
+    assert settled(query) == [("a.log", 16, "four")]
+    b.write_bytes(b"")
+    assert settled(query) == []
+    b.write_bytes(b"y\n")
+    assert settled(query) == [("b.log", 0, "y")]
+    query.stop()
+
+
+def test_open_episodes_are_sent_again(spark, tmp_path):
+    import time
+
+    row = ("g", "data-loss", "warn", "logs", "collector", "n1", "none", "fleet", "i", "i.1", 3, "OPEN", "firing", 1000, None)
+    schema = "group_id string, alertname string, severity string, cluster_id string, entity_kind string, entity_id string, collector_id string, scope_label string, incident_id string, episode_id string, member_count long, episode_state string, state string, opened_at long, resolved_at long"
+    sent = []
+    query = jobs.resend_open(lambda: spark.createDataFrame([row, (*row[:12], "resolved", 1000, 2000)], schema), lambda df: sent.append([(r.episode_id, r.annotations["member_count"], r.endsAt) for r in df.collect()]), spark, str(tmp_path / "c"), "1 second")
+    until = time.time() + 60
+    while len(sent) < 2 and time.time() < until:
+        time.sleep(0.2)
+    query.stop()
+    assert len(sent) >= 2 and sent[0] == sent[1] == [("i.1", "3", None)]
+
+
+def test_a_roster_is_published_once(spark, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "roster")
+    hosts = spark.createDataFrame([("h1", "n1"), ("h2", "n2")], "origin_host string, collector_id string")
+    collectors = spark.createDataFrame([("n1",), ("n2",), (None,)], "collector_id string")
+    first = sinks.publish_roster(hosts, collectors, path, 10)
+    assert first and sinks.publish_roster(hosts.union(hosts), collectors, path, 20) is None
+    second = sinks.publish_roster(hosts.where("origin_host = 'h1'"), collectors, path, 30)
+    assert second != first and sinks.publish_roster(hosts, collectors, path, 40) == first
+    with pytest.raises(ValueError):
+        sinks.publish_roster(hosts, collectors.where("collector_id = 'n1'"), path, 50)
+    with pytest.raises(ValueError):
+        sinks.publish_roster(hosts, collectors.where("false"), path, 50)
+
+
+def test_lines_from_a_socket(spark, tmp_path):
+    import socket
+    import threading
+
+    server = socket.create_server(("localhost", 0))
+
+    def serve():
+        at, _ = server.accept()
+        at.sendall(b'{"a": 1}\nbroken\n')
+        gate.wait(60)
+        at.close()
+
+    gate = threading.Event()
+    threading.Thread(target=serve, daemon=True).start()
+    got = []
+    parsed = logs.json_lines(logs.socket_lines(spark, "localhost", server.getsockname()[1]), "a int")
+    query = parsed.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, _: got.extend((r.a, r._corrupt_record) for r in df.collect())).start()
+    import time
+
+    until = time.time() + 60
+    while len(got) < 2 and time.time() < until:
+        time.sleep(0.2)
+    gate.set()
+    query.stop()
+    assert sorted(got, key=str) == [(1, None), (None, "broken")]
+
+
 def test_stream_windows_and_duplicates(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id AS int)) AS ts, id % 2 AS k, id FROM range(60)").write.parquet(source)
