@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.llm.native import n_words
+from skerry.llm.native import counted_out, n_words
 from skerry.llm.store import written
 
 #: Weights of the sources in order, over and over; the mix's size as a share of all; the most a source is repeated.
@@ -20,8 +20,6 @@ BLOCK_ROWS = 4096
 LANDING = 8
 #: Units of a block, the longest, that are settled before its flight.
 LONG = 16
-#: A row's copies are counted out in runs of this many, so that no array is longer than their number's root or so.
-RUN = 1 << 16
 _EPS = 1e-9
 
 
@@ -171,16 +169,9 @@ def choose(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = S
     return done.select("doc_id", "h", "k", "source", "size", "m", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("total"))
 
 
-def _counted_out(rows: DataFrame, n: str, name: str) -> DataFrame:
-    """Each row n times (n at least 1), with the count from 0 as `name`, without an array of length n."""
-    run = rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / RUN).cast("long"))))
-    left = F.least(F.lit(RUN).cast("long"), F.col(n) - F.col("run") * RUN)
-    return run.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), left - 1))).withColumn(name, F.col("run") * RUN + F.col(name)).drop("run")
-
-
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every row; rows alike share their unit's copies evenly."""
-    each = _counted_out(choose(docs), "m", "at")
+    each = counted_out(choose(docs), "m", "at")
     copies = F.floor(F.col("total") / F.col("m")) + F.when(F.col("at") < F.col("total") % F.col("m"), 1).otherwise(0)
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
@@ -194,4 +185,4 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), *_row_hash(docs))
     units = choose(docs, **options).where("total > 0").select("h", "k", "total")
     found = keyed.groupBy("h", "k").agg(F.first("own").alias("own")).join(units.hint("merge"), ["h", "k"])
-    return _counted_out(found, "total", "at").select("own.*")
+    return counted_out(found, "total", "at").select("own.*")

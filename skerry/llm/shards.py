@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.llm.native import LOW32, bits
+from skerry.llm.native import LOW32, bits, counted_out
 
 #: The multiplier of the linear congruential generator in the published
 #: algorithm (Lamping and Veach, 2014), as two 32-bit halves.
@@ -59,8 +59,8 @@ def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "
     Columns: `key`, size (UTF-8 bytes of the text and 1; a null text counts as none), text_crc32 (null for a null
     text), law, shard, slot, grown_shard. Rows with one key share a shard; a null key is a key of its
     own. Slots are gapless from 0 in each shard. They are numbered by bins of the key's hash: each bin is sorted by one
-    task, and only the bins' counts are summed across a shard, so a shard may be of any size. Rows
-    that repeat get a slot each. More input columns, whatever their names, are left aside; an empty table gives an empty one.
+    task, and only the bins' counts are summed across a shard, so a shard may be of any size. Rows that repeat are counted before they
+    are shuffled, and get a slot each from their count, so they may be of any number. More input columns, whatever their names, are left aside; an empty table gives an empty one.
     """
     bins = max(1, -(-docs.count() // (shards * bin_rows)))
     rows = docs.select(
@@ -75,13 +75,15 @@ def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "
         # doc_id alone may repeat without bound, so the text's checksum takes part in the bin
         F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(bins)).alias("bin"),
     )
+    alike = rows.groupBy(*rows.columns).agg(F.count("*").alias("m"))
     counts = rows.groupBy("shard", "bin").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "bin").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("at", F.row_number().over(within) - 1)
-    return ranked.join(starts, ["shard", "bin"]).select(
-        F.col("doc_id").alias(key), "size", "text_crc32", "law", "shard", (F.col("start") + F.col("at")).alias("slot"), "grown_shard"
+    within = Window.partitionBy("shard", "bin").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = alike.withColumn("at", F.coalesce(F.sum("m").over(within), F.lit(0)))
+    each = counted_out(ranked.join(starts, ["shard", "bin"]), "m", "copy")
+    return each.select(
+        F.col("doc_id").alias(key), "size", "text_crc32", "law", "shard", (F.col("start") + F.col("at") + F.col("copy")).alias("slot"), "grown_shard"
     )
 
 

@@ -6,7 +6,7 @@ import zlib
 import pyarrow as pa
 import pytest
 
-from skerry.llm import chat, components, contamination, langid, mixing, near, pii, repeats, rules, shards, store, substrings, suffixes, textkit
+from skerry.llm import chat, components, contamination, langid, mixing, native, near, pii, repeats, rules, shards, store, substrings, suffixes, textkit
 from skerry.llm.queries import QUERIES
 from tests.conftest import SF
 from tests.llm import brute
@@ -126,6 +126,9 @@ def test_shards(spark, docs, texts, none, table, pairs):
     assert shards.assign(none).count() == 0
     twice = shards.assign(docs.unionByName(docs).withColumn("doc_id", docs["doc_id"] % 3), 4).collect()
     assert len(twice) == 2 * len(texts)
+    for s in range(4):
+        slots = sorted(r.slot for r in twice if r.shard == s)
+        assert slots == list(range(len(slots)))
     nulls = spark.createDataFrame([(None, "a"), (None, None)], "doc_id long, text string")
     assert sorted(r.slot for r in shards.assign(nulls, 4).collect()) == [0, 1]
     whole = QUERIES["op2_jump_shards"](spark, SF).collect()
@@ -203,6 +206,31 @@ def test_near_duplicates(spark, docs, texts, table, pairs, monkeypatch, short):
     assert got(near.report(table), *NEAR) == sorted(brute.components(pairs))
 
 
+def test_near_duplicates_of_a_whole_table(spark):
+    """Every document of sf0.01 against every other: no link is lost."""
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = [(r.doc_id, brute.shingles(r.text)) for r in whole.collect()]
+    root = {d: d for d, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders, sizes = {}, dict((d, len(s)) for d, s in sets)
+    for d, s in sets:
+        met = {}
+        for v in s:
+            for e in holders.setdefault(v, []):
+                met[e] = met.get(e, 0) + 1
+            holders[v].append(d)
+        for e, shared in met.items():
+            if 100 * shared >= 75 * (len(s) + sizes[e] - shared):
+                x, y = sorted((find(d), find(e)))
+                root[y] = x
+    assert got(near.report(whole), *NEAR) == sorted((d, len(s), find(d), find(d) == d) for d, s in sets)
+
+
 def test_near_duplicates_in_chains_and_crowds(spark, monkeypatch):
     """Groups in which each text is like the next but not like the one after that, and unlike texts with a shared passage."""
     monkeypatch.setattr(near, "SHORT_LIST", 2)
@@ -316,9 +344,9 @@ def test_mixing(spark, docs, none, table):
 
 
 def test_copies_are_counted_out(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "RUN", 3)
+    monkeypatch.setattr(native, "RUN", 3)
     rows = spark.createDataFrame([("a", 1), ("b", 3), ("c", 10)], "x string, n long")
-    assert got(mixing._counted_out(rows, "n", "at"), "x", "at") == [(x, k) for x, n in (("a", 1), ("b", 3), ("c", 10)) for k in range(n)]
+    assert got(native.counted_out(rows, "n", "at"), "x", "at") == [(x, k) for x, n in (("a", 1), ("b", 3), ("c", 10)) for k in range(n)]
 
 
 def test_tables_are_deleted_by_their_own_scope(spark):
