@@ -31,7 +31,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(]dot[\])] ?| dot )[A-Za-z0-9-]{2,63}){1,4}"),
-    "card": re.compile(r"(?<![0-9.-])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9.-])|(?<![0-9.-])[0-9]{13,19}(?![0-9.-])"),
+    "card": re.compile(r"(?<![A-Za-z0-9_.-])(?:(?:[0-9]{4}[ -]){3}[0-9]{1,7}|[0-9]{13,19})(?![A-Za-z0-9_-]|\.[0-9])"),
     "phone": re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9.-])"),
     "id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "secret": re.compile(r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z0-9_/+=-]{12})[A-Za-z0-9_/+=-]++"),
@@ -101,7 +101,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[str, int, int, bool]]:
-    """Base spans, and loose shapes that overlap none of them nor one another; the flag marks base spans."""
+    """Base spans, and loose shapes that overlap none of them nor one another; the flag marks base spans.
+
+    A key may hold digits that make a base span of their own: it is a candidate if it holds the whole of them.
+    """
     base = base_spans(text)
     out = [(*s, True) for s in base]
     taken: list[tuple[int, int]] = []  # disjoint, in order
@@ -115,10 +118,14 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
             a, b = m.span()
             if kind == "secret" and (b - a > _SECRET_CHARS or not _keylike(m[0])):
                 continue
-            k = bisect.bisect(taken, (a, b))
-            if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+            k = bisect.bisect(taken, (a, a))
+            k -= k > 0 and taken[k - 1][1] > a
+            upto = k
+            while upto < len(taken) and taken[upto][0] < b:
+                upto += 1
+            if upto == k or kind == "secret" and a <= taken[k][0] and taken[upto - 1][1] <= b:
                 out.append((kind, a, b, False))
-                taken.insert(k, (a, b))
+                taken[k:upto] = [(a, b)]
     return out
 
 

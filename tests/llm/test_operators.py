@@ -452,6 +452,18 @@ def _planted(rng, many):
     return out
 
 
+def test_candidates_keep_apart():
+    """Digits within a key are no card of their own, a key that holds a base card is still a key, and nothing is cut out of an address."""
+    key = "7c06284de91015a3697474879429345dd8a"
+    assert pii.candidates(f"token = {key}") == [("secret", 8, 8 + len(key), False)]
+    held = "ab4111111111111111cd"
+    assert pii.candidates(held) == [("card", 2, 18, True), ("secret", 0, 20, False)]
+    assert [s[0] for s in pii.candidates("to x@mail7example1host2.com or 2669109448945250.")] == ["email", "card"]
+    for text in (key, held, "a1" * 9 + " " + "4111 1111 1111 1111", "555-234-9876 555-234-9877"):
+        spans = sorted((a, b) for _, a, b, base in pii.candidates(text) if not base)
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
 def test_added_spans_on_held_out_plants(spark):
     """The classifier, fitted without labels on one half, on values of the other half that it never saw."""
     rng = random.Random(8)
